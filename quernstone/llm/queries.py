@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing
+from . import chat, decontaminate, mixing, near, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +47,18 @@ def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_pareto_mix, op5_decontaminate, op6_reply_trees)}
+def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents at 0.85 of five-word shingles."""
+    return near.near_duplicates(_read(spark, sf_dir, "documents"), percent=85, words=5)
+
+
+def op9_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without passages of 13 words and more that an earlier one has."""
+    out = substrings.remove_repeats(_read(spark, sf_dir, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", substrings.kept_hash(F.col("text")).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op3_pareto_mix, op5_decontaminate, op6_reply_trees, op8_superminhash, op9_difference_cover)}
 
 SQL = {
     "op3_pareto_mix": r"""
@@ -97,6 +108,27 @@ g AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(1
       FROM f GROUP BY conv_id)
 SELECT conv_id, n::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars
 FROM g
+""",
+    "op8_superminhash": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (WITH RECURSIVE t(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT t.a, l.b FROM t JOIN l ON l.a = t.b) SELECT a, min(b) AS component_id FROM t GROUP BY a)
+SELECT d.doc_id, COALESCE(n, 0)::BIGINT AS n_shingles, component_id::BIGINT AS component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id
+""",
+    "op9_difference_cover": r"""
+WITH d AS (SELECT doc_id, COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+o AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT h, min(doc_id) AS f FROM o GROUP BY h),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM o JOIN f USING (h) WHERE f < doc_id),
+k AS (SELECT doc_id, p, w[p] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+r AS (SELECT k.doc_id, count(*) FILTER (g.p IS NOT NULL) AS n_removed, string_agg(x, ' ' ORDER BY k.p) FILTER (g.p IS NULL) AS kept
+      FROM k LEFT JOIN g ON g.doc_id = k.doc_id AND g.p = k.p GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, COALESCE(n_removed, 0)::BIGINT AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
 """,
 }
 
