@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, near, substrings, topk
+from . import chat, decontaminate, language, mixing, near, substrings, topk, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from three quarters of them."""
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language.fit_languages(docs.where(~held_out & F.col("doc_id").isNotNull()))
+    found = language.identify(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mix of all documents, sources weighing 1, 2, 3 in turn, at most 3 copies of each."""
     mix = mixing.pareto_mix(_read(spark, sf_dir, "documents"))
@@ -53,6 +62,11 @@ def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on each page's url: the rules', else that of trees trained on the urls that rules decide."""
+    return urls.judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents at 0.85 of five-word shingles."""
     return near.near_duplicates(_read(spark, sf_dir, "documents"), percent=85, words=5)
@@ -64,7 +78,7 @@ def op9_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", substrings.kept_hash(F.col("text")).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pareto_mix, op4_histogram_topk, op5_decontaminate, op6_reply_trees, op8_superminhash, op9_difference_cover)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_pareto_mix, op4_histogram_topk, op5_decontaminate, op6_reply_trees, op7_url_filter, op8_superminhash, op9_difference_cover)}
 
 SQL = {
     "op3_pareto_mix": r"""
