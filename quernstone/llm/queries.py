@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, near, substrings, topk, urls
+from . import chat, decontaminate, language, mixing, near, pages, substrings, topk, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
+    out = pages.extract_main_text(_read(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mix of all documents, sources weighing 1, 2, 3 in turn, at most 3 copies of each."""
     mix = mixing.pareto_mix(_read(spark, sf_dir, "documents"))
@@ -78,7 +84,7 @@ def op9_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", substrings.kept_hash(F.col("text")).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_pareto_mix, op4_histogram_topk, op5_decontaminate, op6_reply_trees, op7_url_filter, op8_superminhash, op9_difference_cover)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_site_templates, op3_pareto_mix, op4_histogram_topk, op5_decontaminate, op6_reply_trees, op7_url_filter, op8_superminhash, op9_difference_cover)}
 
 SQL = {
     "op3_pareto_mix": r"""
