@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, near, pages, substrings, topk, urls
+from . import chat, decontaminate, language, lines, mixing, near, pages, substrings, topk, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,7 +84,13 @@ def op9_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", substrings.kept_hash(F.col("text")).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_site_templates, op3_pareto_mix, op4_histogram_topk, op5_decontaminate, op6_reply_trees, op7_url_filter, op8_superminhash, op9_difference_cover)}
+def op10_edit_join_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines within two edits of an earlier one."""
+    out = lines.dedup_lines(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_site_templates, op3_pareto_mix, op4_histogram_topk, op5_decontaminate, op6_reply_trees, op7_url_filter, op8_superminhash, op9_difference_cover, op10_edit_join_lines)}
 
 SQL = {
     "op3_pareto_mix": r"""
