@@ -11,8 +11,8 @@ from ..staging import is_small, stage
 
 #: Between words, after A-Z are lower-cased.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word before lower-casing.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same before lower-casing.
+RAW_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows up to which the items' tables are broadcast: some 100 bytes a row.
 SMALL = 400_000
 
@@ -98,7 +98,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     all_docs = docs.select(
         F.col(id_col).alias("id"),
         F.xxhash64(F.col(text_col)).alias("text_hash"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"),
+        F.coalesce(F.size(F.array_remove(F.split(F.col(text_col), RAW_BREAK), "")), F.lit(0)).cast("long").alias("n_words"),
     )
     right = found.withColumnsRenamed({"id": "hit_id", "text_hash": "hit_hash"})
     joined = all_docs.join(right, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
