@@ -132,12 +132,12 @@ def fit_languages(labelled: DataFrame, *, text_col: str = "text", lang_col: str
     return estimate(counts, read_pieces(vocabulary))
 
 
-def _predict(model: LanguageModel):
+def _predict(model: LanguageModel, text_col: str, hide: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: dict[str, int] = {}
         table = np.zeros((1024, len(model.langs)))
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("_text"))
+            column = batch.column(batch.schema.get_field_index(text_col))
             langs: list[str] = []
             odds: list[float] = []
             fits: list[float] = []
@@ -170,19 +170,32 @@ def _predict(model: LanguageModel):
                     odds.append(float(1 / np.exp(total - total[best]).sum()))
                     fits.append(float(total[best] / max(1.0, n @ np.fromiter(map(len, c), float, len(c)))))
             made = [pa.array(langs, pa.string()), pa.array(odds, pa.float64()), pa.array(fits, pa.float64())]
-            kept = [i for i, name in enumerate(batch.schema.names) if name != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made], [*(batch.schema.names[i] for i in kept), "lang_pred", "score", "fit"])
+            kept = [i for i, name in enumerate(batch.schema.names) if not (hide and name == text_col)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made], [*(batch.schema.names[i] for i in kept), *names])
 
     return run
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """The columns ``keep`` and lang_pred, score (its odds among the learned languages, 0 to 1) and fit (log odds a letter) of each row.
 
     A text's words are its runs of letters, lower-cased; a word's odds in a language are the sum over all its segmentations into
     pieces, and a text's the product of its words'. ``und`` with score 0 is for texts that are null or hold no letter, and for all if
     nothing was learned. Whole texts are read; a worker keeps the scores of at most 150,000 words. Ties go to the first language by name.
+    ``prefix`` goes before the new names, where the kept columns have these. An empty table gives an empty result.
     """
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.select(*keep).schema)
-    return rows.mapInArrow(_predict(model), f"{fields}, lang_pred string, score double, fit double")
+    hide = text_col not in keep
+    rows = docs.select(*keep, text_col) if hide else docs.select(*keep)
+    fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in docs.select(*keep).schema]
+    names = [prefix + x for x in ("lang_pred", "score", "fit")]
+    fields += [f"`{n}` {t}" for n, t in zip(names, ("string", "double", "double"), strict=True)]
+    return rows.mapInArrow(_predict(model, text_col, hide, names), ", ".join(fields))
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", least: float = 0.3, least_fit: float = -8.0) -> DataFrame:
+    """The documents of a known language: not ``und``, with a score of ``least`` or more and a fit of ``least_fit`` or more.
+
+    A letter that no piece has costs 16, so a text of which half the letters are of a script that was not learned goes.
+    """
+    found = identify(docs, model, text_col=text_col, keep=tuple(docs.columns), prefix="_id_")
+    return found.where((F.col("_id_lang_pred") != "und") & (F.col("_id_score") >= least) & (F.col("_id_fit") >= least_fit)).select(*docs.columns)

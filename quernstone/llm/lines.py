@@ -90,8 +90,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     the tolerance first stands earlier: one edit for each 20 characters of the shorter, two at most, none under 20. Whether the
     earlier line goes itself does not matter. Blank lines stay and repeat nothing.
 
-    Returns a row per input row: id_col, n_lines, n_removed, n_links (of its lines with different texts, each line's added), text. A
-    null text has no lines and stays null; an empty text is one blank line. Rows of a null id come after all others. Rows that are
+    Returns the input's rows with the text that is left, n_lines, n_removed and n_links (of its lines with different texts, each
+    line's added); input columns of these names are replaced. A null text has no lines and stays null; an empty text is one blank line. Rows of a null id come after all others. Rows that are
     repeated whole are judged as one. An empty table gives an empty result.
     """
     lines = split_lines(docs, id_col, text_col)
@@ -118,7 +118,7 @@ def _apply(docs: DataFrame, lines: DataFrame, firsts: DataFrame, links: DataFram
     found = found.distinct().groupBy("id", "mark").agg(
         F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("n")))).alias("gone"), F.sum("links").alias("n_links")
     )
-    named = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    named = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     right = found.withColumnsRenamed({"id": "_id", "mark": "_mark"})
     joined = named.join(right, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
     all_lines = F.split("text", "\n")
@@ -128,10 +128,11 @@ def _apply(docs: DataFrame, lines: DataFrame, firsts: DataFrame, links: DataFram
     stops = F.concat(gone, F.array(F.size(all_lines)))
     kept = F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice(all_lines, a + 1, b - a)))
     text = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(
-        F.col("id").alias(id_col),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias("n_lines"),
-        F.size(gone).cast("long").alias("n_removed"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("text").isNotNull(), text).alias("text"),
-    )
+    made = {
+        text_col: F.when(F.col("text").isNotNull(), text),
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("long"),
+        "n_removed": F.size(gone).cast("long"),
+        "n_links": F.coalesce("n_links", F.lit(0)).cast("long"),
+    }
+    others = [F.col("row")[c].alias(c) for c in docs.columns if c not in made]
+    return joined.select(*others, *(x.alias(c) for c, x in made.items()))
