@@ -22,6 +22,8 @@ EDGE = "▁"
 LONGEST = 12
 #: Words whose scores a Python worker keeps.
 MEMORY = 150_000
+#: Parts in which a language's rows are cut down to the sample before they meet.
+SPREAD = 32
 #: A longer run of letters is scored in parts of this length.
 WORD = 64
 
@@ -119,7 +121,10 @@ def fit_languages(labelled: DataFrame, *, text_col: str = "text", lang_col: str
     most frequent words. Both bounds are all that the driver collects. Rows with a null text or language are not used."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     hashed = rows.select("lang", F.xxhash64("text", F.lit(3)).alias("h")).distinct()
-    first = hashed.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample).select("lang", "h")
+    for parts in (["lang", F.pmod("h", F.lit(SPREAD))], ["lang"]):  # a language of most rows is first cut down in parts
+        place = F.row_number().over(W.partitionBy(*parts).orderBy("h"))
+        hashed = hashed.withColumn("n", place).where(F.col("n") <= sample).select("lang", "h")
+    first = hashed
     chosen = rows.withColumn("h", F.xxhash64("text", F.lit(3))).join(F.broadcast(first), ["lang", "h"]).dropDuplicates(["lang", "h"])
     words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counted = stage(words.groupBy("lang", "word").count(), "words")
