@@ -49,6 +49,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(df: DataFrame, size: int = 16 << 20) -> int:
+    """Into how many groups to deal rows that meet in whole groups: the shuffle partitions, or more if that is over ``size`` bytes of files a group."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(df.sparkSession), known // size if known < 1 << 60 else 0)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
