@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import if_small, partitions, stage
+from ..staging import buckets, if_small, stage
 from .components import connected_components
 from .hashing import Words, mix, pieces, shingle_sets
 
@@ -184,7 +184,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shingles and are linked with nothing. A row with a null id is linked with nothing: component_id is null, kept true. Rows that share
     an id are judged each by its text. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = stage(source.mapInArrow(_sketches(words), SKETCH), "sketch")
     real = sketch.where("n > 0 and id is not null")
@@ -205,7 +204,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     grid = grid.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "signature")
     grid = if_small(stage(grid, "grid"), 500_000)
     texts = source.join(grid, "id").select("component", "i", "j", "id", "signature", "text")
-    dealt = texts.repartition(partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    dealt = texts.repartition(buckets(source), "component", "i", "j").sortWithinPartitions("component", "i", "j")
     links = stage(dealt.mapInArrow(_linked(percent, words), "u long, v long"), "links")
     groups = connected_components(links)
     named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import partitions, stage
+from ..staging import buckets as count_buckets
+from ..staging import stage
 from .urls import url_host
 
 # Names of HTML elements and words of class names.
@@ -233,7 +234,7 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     empty text; a null url is a host of its own (empty). Broken and unclosed markup is read on, as browsers do. Repeated rows count as
     pages each. An empty table gives an empty result.
     """
-    buckets = partitions(pages.sparkSession)
+    buckets = count_buckets(pages)
     templates = stage(site_templates(pages, url_col=url_col, html_col=html_col, **options), "templates")
     bucket = F.pmod(F.xxhash64("host", "salt"), F.lit(buckets)).cast("int").alias("bucket")
     salt = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(SALTS)).cast("int")

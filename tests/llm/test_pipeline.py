@@ -1,0 +1,60 @@
+"""The pipeline's stages against plain versions, one by one, each on what the one before it kept."""
+
+import corpus_pipeline as P
+from test_hashing_and_near import brute as brute_near
+from test_selection import fill, plain_hits, plain_words
+from test_text_removal import brute_lines
+
+from quernstone.llm import language
+from quernstone.staging import stage
+
+
+def test_stages(spark, sf_dir, tmp_path):
+    assert [n for n, _ in P.STAGES] == ["language", "lines", "near_duplicates", "decontamination", "mix"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    odd = [(1000, None, "en", "s", 0), (1001, "12 34", "en", "s", 5), (1002, "", None, None, 0)]
+    leak = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    base = docs.where("n_chars > 300").orderBy("doc_id").first()
+    odd += [(1003, "Und " + leak.replace("\n", " ") + " das", "de", "s", 9), (1004, base.text.replace("\n", " ") + " end", base.lang, "s", 9), (1005, base.text.replace("\n", "  ") + " fin", base.lang, "s", 9)]
+    docs = stage(docs.unionByName(spark.createDataFrame(odd, docs.schema)), "docs")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    columns = docs.columns
+    steps = dict(P.STAGES)
+
+    got = stage(steps["language"](spark, docs, str(tmp_path)), "a")
+    said = {r.doc_id: r for r in language.identify(docs, language.fit_languages(docs)).collect()}
+    want = {i for i, r in said.items() if r.lang_pred != "und" and r.score >= 0.3 and r.fit >= -8}
+    assert {r.doc_id for r in got.collect()} == want and got.columns == columns and not want & {1000, 1001, 1002} and len(want) >= 60
+
+    pairs = [(r.doc_id, r.text) for r in got.collect()]
+    kept = {i: (t, n) for i, (_, n, _, t) in brute_lines(pairs, 20, 2).items() if not n or t.replace("\n", " ").strip(" ")}
+    got = stage(steps["lines"](spark, got, str(tmp_path)), "b")
+    assert {r.doc_id: r.text for r in got.collect()} == {i: t for i, (t, _) in kept.items()} and got.columns == columns
+    assert all(r.n_chars == len(r.text) for r in got.collect() if kept[r.doc_id][1])
+
+    pairs = [(r.doc_id, r.text) for r in got.collect()]
+    want = {i for i, (_, _, k) in brute_near(pairs, 80).items() if k}
+    got = stage(steps["near_duplicates"](spark, got, str(tmp_path)), "c")
+    assert {r.doc_id for r in got.collect()} == want and got.columns == columns and 1005 not in want
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(str(tmp_path / "benchmark.parquet")).collect()]
+    grams = {tuple(plain_words(t)[k : k + 8]) for _, t in items for k in range(len(plain_words(t)))}
+    near = [(r.doc_id, r.text) for r in got.collect()]
+    near = {i: t for i, t in near if any(tuple(plain_words(t)[k : k + 8]) in grams for k in range(len(plain_words(t)))) or len(plain_words(t)) < 8}
+    bad = {i for i, t in near.items() if plain_hits(t, items, 8)[2]}
+    want -= bad
+    got = stage(steps["decontamination"](spark, got, str(tmp_path)), "d")
+    assert {r.doc_id for r in got.collect()} == want and got.columns == columns and 1003 in bad
+
+    before = got.collect()
+    sizes = {}
+    for r in before:
+        sizes[r.source] = sizes.get(r.source, 0) + len((r.text or "").encode().split())
+    targets = fill(sizes, (1, 2, 3), 3)
+    out = steps["mix"](spark, got, str(tmp_path)).collect()
+    taken = dict.fromkeys(sizes, 0)
+    for r in out:
+        assert 1 <= r.copies <= 3 and r.taken == r.copies * len(r.text.encode().split())
+        taken[r.source] += r.taken
+    longest = max(len(r.text.encode().split()) for r in before)
+    assert all(abs(taken[s] - targets[s]) <= longest / 2 + 1e-6 for s in sizes)
