@@ -124,6 +124,11 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / F.when(size > 0, size).otherwise(1.0))
 
 
+def listing_url(listing: Column, base: str = "https://example.com/rooms/") -> Column:
+    """The address of a listing's page."""
+    return F.concat(F.lit(base), listing.cast("string"))
+
+
 def clamp(value: int, low: int = 1, high: int = 200) -> int:
     return min(max(value, low), high)
 

@@ -126,6 +126,7 @@ def test_close(spark):
     assert tuple(R.close(a, b, ["i", "j"]).first()) == (2.0, False)
 
 
-def test_parameters():
+def test_parameters(spark):
+    assert spark.range(1).select(X.listing_url(F.lit(7), "http://x/")).first()[0] == "http://x/7"
     assert [X.clamp(k) for k in (0, 20, 999)] == [1, 20, 200]
     assert [X.search_depth(k) for k in (10, 100, 900)] == [64, 200, 1000]
