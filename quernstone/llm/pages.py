@@ -41,10 +41,10 @@ SALTS = 16
 
 
 class Element:
-    __slots__ = ("tag", "drop", "main", "parts", "hash", "parent", "blank")
+    __slots__ = ("tag", "drop", "named", "main", "parts", "hash", "parent", "blank")
 
-    def __init__(self, tag: str, parent: Element | None, drop: bool, main: bool):
-        self.tag, self.parent, self.drop, self.main = tag, parent, drop, main
+    def __init__(self, tag: str, parent: Element | None, drop: bool, main: bool, named: bool = False):
+        self.tag, self.parent, self.drop, self.main, self.named = tag, parent, drop, main, named
         self.parts: list[str] = []
         self.hash, self.blank = 0, True
 
@@ -53,25 +53,26 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if "=" in raw or "hidden" in raw else {}
 
 
-def _is_chrome(tag: str, raw: str, inside: bool) -> tuple[bool, bool]:
-    """(is chrome, is marked as the main part)."""
+def _is_chrome(tag: str, raw: str, inside: bool) -> tuple[bool, bool, bool]:
+    """(is chrome, is marked as the main part, is chrome by the words of its class or id alone)."""
     if tag in CHROME or tag == "header" and not inside:
-        return True, False
+        return True, False, False
     if not raw.strip(" /"):
-        return False, tag in ("article", "main")
+        return False, tag in ("article", "main"), False
     at = _attributes(raw)
     role = at.get("role", "").lower()
     main = tag in ("article", "main") or role == "main" or at.get("itemprop", "").lower() == "articlebody"
     if role in CHROME_ROLES or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", ""):
-        return True, False
+        return True, False, False
     words = set(WORD.findall((at.get("class", "") + " " + at.get("id", "")).lower()))
-    return tag not in ("html", "body") and not main and bool(words & CHROME_WORDS), main
+    named = tag not in ("html", "body") and not main and bool(words & CHROME_WORDS)
+    return named, main, named
 
 
 def parse(page: str) -> list[tuple[str, Element]]:
     """The blocks of text of a page, in order, each with the element it stands in. Elements have the hash of their subtree."""
     root = Element("", None, False, False)
-    top, at, text, found = root, 0, [], []
+    top, at, text, found, any_main = root, 0, [], [], False
 
     def flush() -> None:
         if text:
@@ -137,8 +138,12 @@ def parse(page: str) -> list[tuple[str, Element]]:
             inside, e = False, top
             while e is not None and not inside:
                 inside, e = e.main, e.parent
-            drop, main = _is_chrome(name, raw, inside)
-            top = Element(name, top, drop, main)
+            drop, main, named = _is_chrome(name, raw, inside)
+            if main and not any_main:  # what holds the page's first main element is no chrome, whatever its class says
+                e, any_main = top, True
+                while e is not None:
+                    e.drop, e = e.drop and not e.named, e.parent
+            top = Element(name, top, drop, main, named)
     flush()
     while top.parent is not None:
         top = close(top)

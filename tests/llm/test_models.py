@@ -85,6 +85,11 @@ def test_broken_markup(page, want):
     assert pages.main_text(page, {}) == want
 
 
+def test_a_class_name_does_not_drop_what_holds_the_article():
+    page = "<div class='page has-sidebar widget'><div class=ad>x</div><article><p>kept</p></article><div class=comments><article><p>reader</p></article></div></div>"
+    assert pages.main_text(page, {}) == "kept"
+
+
 def test_recurring_subtrees_go(spark):
     rows = []
     for i in range(40):
