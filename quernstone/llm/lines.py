@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..staging import if_small, stage
 
+#: Frequent lines that are broadcast at most: those of more than a share of 1 in this of all lines.
+HOT = 100_000
+
 
 def tolerance(size: Column, per_edit: int, most: int) -> Column:
     """Edits that a line of ``size`` characters may differ by: one for each ``per_edit``, ``most`` at most."""
@@ -31,53 +35,75 @@ def segments(line: Column, size: Column, edits: int) -> list[tuple[Column, Colum
     return out
 
 
-def _stamp(line: Column, start: Column, size: Column, whole: Column, edits: int, i: int) -> Column:
-    return F.xxhash64(F.lit(edits), F.lit(i), whole, F.substring(line, start + 1, size))
-
-
-def index_stamps(line: Column, size: Column, edits: int) -> list[Column]:
-    """A hash of each segment with its number and the line's length: what the index holds of a line."""
-    return [_stamp(line, at, n, size, edits, i) for i, (at, n) in enumerate(segments(line, size, edits))]
+def stamps(line: Column, size: Column, edits: int) -> list[tuple[Column, bool]]:
+    """Hashes of what a segment of a line as long, or up to ``edits`` shorter, can be equal to; and whether it is the line's own segment.
 
-
-def probe_stamps(line: Column, size: Column, edits: int) -> list[Column]:
-    """Hashes of the substrings that a segment of an indexed line, as long or up to ``edits`` shorter, can be equal to.
-
-    With d the difference in length, segment i (from 0) of the indexed line can start at p + s, s from max(-i, d - (edits - i)) to
-    min(i, d + (edits - i)): further off, what stands before or after it would take too many edits.
+    With d the difference in length, segment i (from 0) of the shorter line can start at p + s, s from max(-i, d - (edits - i)) to
+    min(i, d + (edits - i)): further off, what stands before or after it would take too many edits. With d = s = 0 it is the
+    line's own segment, which is what the index holds of it. A hash covers the length of the shorter line and the segment's number.
     """
     out = []
     for d in range(edits + 1):
         whole = size - d
         for i, (at, n) in enumerate(segments(line, whole, edits)):
             for s in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                start = at + s
-                out.append(F.when((start >= 0) & (start + n <= size), _stamp(line, start, n, whole, edits, i)))
+                out.append((F.xxhash64(F.lit(edits * 16 + i), whole, F.substring(line, at + (s + 1), n)), d == s == 0))
     return out
 
 
+def with_stamps(lines: DataFrame, per_edit: int, most: int) -> DataFrame:
+    """The lines' columns but the text, with size, stamp and own (whether the index holds it), a row for each stamp."""
+    line, size = F.col("line"), F.col("size")
+    top = stamps(line, size, most)
+    every, own = [], []
+    for t in range(most, 0, -1):
+        # a line meets shorter ones of tolerance t; it may have a higher one itself, but then it is no segment of its own here
+        met = size >= per_edit * t if t == most else size.between(per_edit * t, per_edit * (t + 1) - 1 + t)
+        every += [F.when(met, x) for x, _ in stamps(line, size, t)]
+        own += [(t, k) for k, (_, o) in enumerate(stamps(line, size, t), len(every) - len(stamps(line, size, t))) if o]
+    sized = lines.withColumn("size", F.length("line")).where(F.col("size") >= per_edit)
+    listed = F.when(size >= per_edit * most + most, F.array(*[x for x, _ in top])).otherwise(F.array(*every))
+    spread = sized.select(*(c for c in lines.columns if c != "line"), "size", F.posexplode(listed).alias("at", "stamp")).where("stamp is not null")
+    mine = F.lit(False)
+    for t in range(1, most + 1):
+        mine = mine | (tolerance(size, per_edit, most) == t) & F.col("at").isin([k for u, k in own if u == t])
+    return spread.withColumn("own", mine).drop("at")
+
+
+def grams(line: Column) -> Column:
+    """The parities of a line's pairs of neighbouring characters, dealt to 64 by hash: an edit changes four of them at most."""
+    chars = F.split(line, "")
+    pairs = F.zip_with(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda x, y: F.concat(x, y))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(x), F.lit(64)))
+    return F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+
+
 def line_links(lines: DataFrame, *, per_edit: int = 20, most: int = 2) -> DataFrame:
     """Pairs of different lines within the edit tolerance of the shorter one: a, b (keys), each pair once.
 
-    ``lines`` has key and line, a row for each text (rows repeated whole only cost time). A line with tolerance t is split into t + 1 segments; a line within t edits that is no
-    shorter has one of them unchanged, near the same place. Equal stamps give candidate pairs, which are verified by an edit distance
-    banded to the tolerance.
+    ``lines`` has key and line; a line may have several rows. A line of tolerance t is split into t + 1 segments; a line within t
+    edits that is no shorter has one of them unchanged, near the same place.
+
+    1. Stamps of all lines meet, and lines of which another has a stamp that an index holds are marked. No pairs are made.
+    2. Only marked lines meet again, as pairs by stamp, of which those stay whose parities of character pairs differ by no more than
+       the tolerance allows.
+    3. Those are verified by an edit distance banded to the tolerance.
     """
-    sized = lines.withColumn("size", F.length("line"))
-    index, probe = [], []
-    for t in range(1, most + 1):
-        own = tolerance(F.col("size"), per_edit, most) == t
-        index += [F.when(own, x) for x in index_stamps(F.col("line"), F.col("size"), t)]
-        # a longer line meets shorter ones of tolerance t; it may have a higher one itself
-        met = F.col("size") >= per_edit * t if t == most else F.col("size").between(per_edit * t, per_edit * (t + 1) - 1 + t)
-        probe += [F.when(met, x) for x in probe_stamps(F.col("line"), F.col("size"), t)]
-    held = sized.select("key", F.explode(F.array_compact(F.array(*index))).alias("stamp"))
-    asked = sized.select("key", F.explode(F.array_compact(F.array(*probe))).alias("stamp"))
-    pairs = asked.withColumnRenamed("key", "a").join(held.withColumnRenamed("key", "b"), "stamp").where("a <> b")
+    short = lines.select(F.xxhash64("line").alias("h"), "line")
+    group = W.partitionBy("stamp")
+    met = with_stamps(short, per_edit, most).withColumns({"low": F.min("h").over(group), "high": F.max("h").over(group), "held": F.max("own").over(group)})
+    ends = stage(met.where("held and low <> high").select("h").distinct(), "ends")
+    texts = lines.withColumn("h", F.xxhash64("line")).join(if_small(ends, 500_000), "h").select("key", "line").dropDuplicates(["key"])
+    texts = stage(texts.withColumn("grams", grams(F.col("line"))), "texts")
+    marked = with_stamps(texts, per_edit, most)
+    asked = marked.select("stamp", F.col("key").alias("a"), F.col("size").alias("size_a"), F.col("grams").alias("grams_a"))
+    held = marked.where("own").select("stamp", F.col("key").alias("b"), F.col("size").alias("size_b"), F.col("grams").alias("grams_b"))
+    allowed = tolerance(F.least("size_a", "size_b"), per_edit, most)
+    apart = F.bit_count(F.col("grams_a").bitwiseXOR(F.col("grams_b")))
+    pairs = asked.join(held, (asked["stamp"] == held["stamp"]) & (F.col("a") != F.col("b")) & (apart <= allowed * 4))
     pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "ends")
-    texts = lines.join(if_small(ends, 500_000), "key").select("key", "line")
-    both = pairs.join(texts.withColumnsRenamed({"key": "a", "line": "line_a"}), "a").join(texts.withColumnsRenamed({"key": "b", "line": "line_b"}), "b")
+    text = texts.select("key", "line")
+    both = pairs.join(text.withColumnsRenamed({"key": "a", "line": "line_a"}), "a").join(text.withColumnsRenamed({"key": "b", "line": "line_b"}), "b")
     allowed = tolerance(F.least(F.length("line_a"), F.length("line_b")), per_edit, most)
     near = F.levenshtein("line_a", "line_b", most)
     return both.where((near >= 0) & (near <= allowed)).select("a", "b")
@@ -98,9 +124,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     place = F.struct(F.col("id").isNull().alias("last"), "id", "mark", "n")
     firsts = lines.where("key is not null").groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("times"))
     firsts = stage(firsts, "firsts")
-    # of a repeated line only the first is joined; a line that occurs once is that already
-    again = if_small(stage(firsts.where("times > 1").select("key", "first"), "again"), 500_000)
-    once = lines.where("key is not null").join(again, "key", "left").where(F.col("first").isNull() | (F.col("first") == place)).select("key", "line")
+    # of a frequent line only the first goes on; there are HOT frequent lines at most, so that they can be broadcast at any size
+    total = firsts.agg(F.sum("times")).first()[0] or 0
+    hot = F.broadcast(stage(firsts.where(F.col("times") > max(1, total // HOT)).select("key", "first"), "hot"))
+    once = lines.where("key is not null").join(hot, "key", "left").where(F.col("first").isNull() | (F.col("first") == place)).select("key", "line")
     links = stage(line_links(once, per_edit=per_edit, most=most), "links")
     return _apply(docs, lines, firsts, links, id_col, text_col)
 
