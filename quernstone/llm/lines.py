@@ -23,50 +23,48 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("key", F.when(F.trim("line") != "", F.unhex(F.md5("line"))))
 
 
-def segments(line: Column, size: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 0, size) of the edits + 1 segments of a line, the longer ones last."""
-    parts = edits + 1
-    short = F.floor(size / parts).cast("int")
-    longer = (size % parts).cast("int")
-    out = []
-    for i in range(parts):
-        before = F.lit(i) - (parts - longer)
-        out.append((short * i + F.greatest(before, F.lit(0)), short + F.when(before >= 0, 1).otherwise(0)))
-    return out
-
+def shifts(edits: int) -> list[tuple[int, int, int]]:
+    """(d, i, s): that a line d longer than an indexed one may have that one's segment i (from 0) s places from where it stands there.
 
-def stamps(line: Column, size: Column, edits: int) -> list[tuple[Column, bool]]:
-    """Hashes of what a segment of a line as long, or up to ``edits`` shorter, can be equal to; and whether it is the line's own segment.
-
-    With d the difference in length, segment i (from 0) of the shorter line can start at p + s, s from max(-i, d - (edits - i)) to
-    min(i, d + (edits - i)): further off, what stands before or after it would take too many edits. With d = s = 0 it is the
-    line's own segment, which is what the index holds of it. A hash covers the length of the shorter line and the segment's number.
+    s goes from max(-i, d - (edits - i)) to min(i, d + (edits - i)): further off, what stands before or after it would take too many
+    edits. With d = s = 0 it is the line's own segment, which is what the index holds of it.
     """
     out = []
     for d in range(edits + 1):
-        whole = size - d
-        for i, (at, n) in enumerate(segments(line, whole, edits)):
-            for s in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                out.append((F.xxhash64(F.lit(edits * 16 + i), whole, F.substring(line, at + (s + 1), n)), d == s == 0))
+        for i in range(edits + 1):
+            out += [(d, i, s) for s in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
     return out
 
 
 def with_stamps(lines: DataFrame, per_edit: int, most: int) -> DataFrame:
-    """The lines' columns but the text, with size, stamp and own (whether the index holds it), a row for each stamp."""
-    line, size = F.col("line"), F.col("size")
-    top = stamps(line, size, most)
-    every, own = [], []
+    """The lines' columns but the text, with size, stamp and own (whether the index holds it), a row for each stamp.
+
+    A line of n characters is cut at floor(n i / (t + 1)). A stamp is a hash of the tolerance t, the segment's number, the length of
+    the shorter line and the segment. It is made in steps, since generated code that is too long is never compiled to machine code.
+    """
+    size, line = F.col("size"), F.col("line")
+    sized = lines.withColumn("size", F.length("line")).where(F.col("size") >= per_edit)
+    cuts = {f"_cut_{t}_{d}_{i}": F.expr(f"cast(((size - {d}) * {i}) div {t + 1} as int)") for t in range(1, most + 1) for d in range(t + 1) for i in range(1, t + 1)}
+    cut = lambda t, d, i: F.lit(0) if i == 0 else size - d if i == t + 1 else F.col(f"_cut_{t}_{d}_{i}")
+    lists, own, at = {}, [], 0
     for t in range(most, 0, -1):
+        made = []
+        for d, i, s in shifts(t):
+            start, end = cut(t, d, i), cut(t, d, i + 1)
+            made.append(F.xxhash64(F.lit(16 * t + i), size - d, F.substring(line, start + (s + 1), end - start)))
         # a line meets shorter ones of tolerance t; it may have a higher one itself, but then it is no segment of its own here
         met = size >= per_edit * t if t == most else size.between(per_edit * t, per_edit * (t + 1) - 1 + t)
-        every += [F.when(met, x) for x, _ in stamps(line, size, t)]
-        own += [(t, k) for k, (_, o) in enumerate(stamps(line, size, t), len(every) - len(stamps(line, size, t))) if o]
-    sized = lines.withColumn("size", F.length("line")).where(F.col("size") >= per_edit)
-    listed = F.when(size >= per_edit * most + most, F.array(*[x for x, _ in top])).otherwise(F.array(*every))
-    spread = sized.select(*(c for c in lines.columns if c != "line"), "size", F.posexplode(listed).alias("at", "stamp")).where("stamp is not null")
-    mine = F.lit(False)
-    for t in range(1, most + 1):
-        mine = mine | (tolerance(size, per_edit, most) == t) & F.col("at").isin([k for u, k in own if u == t])
+        lists[f"_list_{t}"] = F.when(met, F.array(*made)).otherwise(F.array().cast("array<bigint>"))
+        own += [(t, at + k) for k, (d, _, s) in enumerate(shifts(t)) if d == s == 0]
+        at += len(made)
+    kept = [c for c in lines.columns if c != "line"]
+    listed = sized.withColumns(cuts).select(*kept, "size", *(x.alias(c) for c, x in lists.items()))
+    # places in the joined list: those of higher tolerances come first, where a line has them
+    offset, mine = F.lit(0), F.lit(False)
+    for t in range(most, 0, -1):
+        mine = mine | (tolerance(size, per_edit, most) == t) & (F.col("at") - offset).isin([k - min(x for u, x in own if u == t) for u, k in own if u == t])
+        offset = offset + F.when(size >= per_edit * t if t == most else size.between(per_edit * t, per_edit * (t + 1) - 1 + t), len(shifts(t))).otherwise(0)
+    spread = listed.select(*kept, "size", F.posexplode(F.concat(*lists)).alias("at", "stamp"))
     return spread.withColumn("own", mine).drop("at")
 
 
