@@ -29,8 +29,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of 8 words of any benchmark item."""
-    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=8, min_items=1)
+    """Documents that have no window as long as a benchmark item with 0.8 of its five-word shingles."""
+    return decontaminate.drop_containing(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shingle=5, share=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

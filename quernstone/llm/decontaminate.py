@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..staging import is_small, stage
@@ -31,6 +32,12 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> D
     return each.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("size", F.size("win"))
 
 
+def word_counts(source: DataFrame, vocab: DataFrame, few: bool) -> DataFrame:
+    """word, count over all documents (w array<string>) of the words of ``vocab``, which is broadcast if it is of ``few`` rows."""
+    met = source.select(F.explode("w").alias("word"))
+    return stage(met.join(F.broadcast(vocab), "word").groupBy("word").count() if few else met.groupBy("word").count().join(vocab, "word", "left_semi"), "rarity")
+
+
 def item_hits(
     docs: DataFrame,
     items: DataFrame,
@@ -56,9 +63,7 @@ def item_hits(
     vocab = stage(wins.select(F.explode("win").alias("word")).distinct(), "vocab")
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), words(F.col(text_col)).alias("w"))
     few = is_small(vocab, SMALL) and is_small(wins, SMALL)
-    met = source.select(F.explode("w").alias("word"))
-    met = met.join(F.broadcast(vocab), "word").groupBy("word").count() if few else met.groupBy("word").count().join(vocab, "word", "left_semi")
-    rarity = stage(met, "rarity")
+    rarity = word_counts(source, vocab, few)
     placed = wins.select("win_id", F.posexplode("win").alias("offset", "word"))
     placed = placed.join(rarity, "word", "left").groupBy("win_id").agg(
         F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "offset")).alias("rarest")
@@ -112,6 +117,70 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     )
 
 
+def contained_items(
+    docs: DataFrame,
+    items: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    shingle: int = 5,
+    share: float = 0.8,
+) -> DataFrame:
+    """Items of whose distinct shingles some window of the document, as long as the item, has ``share`` or more.
+
+    An item's shingles are ordered by rarity, the count over all documents of their rarest word. A window may lack m - need of the m, so
+    one of the m - need + 1 rarest is in it whole: they are the necessary prefix. Document words are joined with the prefix shingles'
+    rarest words, whose place gives the only place that the shingle can have; the shingle is verified there, and only windows that reach
+    over it are counted, word by word, with the document's ends as bounds.
+
+    Returns id, text_hash (together they name a row), item, contained (the largest share), a row for each item and place it was found at.
+    An item shorter than a shingle is one shingle; items without words or with a null id take no part, nor do documents without words.
+    """
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), words(F.col(text_col)).alias("w"))
+    listed = items.where(F.col(item_id_col).isNotNull()).select(F.col(item_id_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("w"))
+    listed = listed.where(F.size("w") > 0).distinct().withColumn("n", F.size("w")).withColumn("k", F.least("n", F.lit(shingle)))
+    each = listed.select("item", "w", "n", "k", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("k"))).alias("at"))
+    each = each.select("item", "w", "n", "k", "at", F.slice("w", F.col("at") + 1, F.col("k")).alias("s"))
+    each = each.groupBy("item", "w", "n", "k", "s").agg(F.min("at").alias("at"))
+    sets = each.groupBy("item", "w", "n", "k").agg(F.collect_list("s").alias("shingles"), F.count("*").alias("m"))
+    need = F.ceil(F.col("m") * share - 1e-9).cast("int")
+    sets = stage(sets.select(F.xxhash64("item", "w").alias("set"), "item", "n", "k", "m", "shingles", need.alias("need")), "sets")
+    each = stage(each.select(F.xxhash64("item", "w").alias("set"), "s", "at"), "shingles")
+    vocab = stage(each.select(F.explode("s").alias("word")).distinct(), "vocab")
+    few = is_small(vocab, SMALL) and is_small(each, SMALL)
+    rarity = word_counts(source, vocab, few)
+    placed = each.select("set", "s", "at", F.posexplode("s").alias("offset", "word")).join(rarity, "word", "left")
+    least = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("seen"), "word", "offset")).alias("x")
+    placed = placed.groupBy("set", "s", "at").agg(least).join(sets.select("set", "n", "k", "m", "need"), "set")
+    order = W.partitionBy("set").orderBy("x.seen", "at")
+    prefix = placed.withColumn("place", F.row_number().over(order)).where((F.col("place") <= F.col("m") - F.col("need") + 1) & (F.col("x.seen") > 0))
+    prefix = stage(prefix.select("set", "s", "at", "n", "k", F.col("x.word").alias("word"), F.col("x.offset").alias("offset")), "prefix")
+    if few:
+        near = source.select("id", "text_hash", "w", F.posexplode("w").alias("pos", "word")).join(F.broadcast(prefix), "word")
+    else:  # only keys and places travel, and the texts of those that met are joined again
+        met = source.select("id", "text_hash", F.posexplode("w").alias("pos", "word")).join(prefix, "word").withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
+        near = source.dropDuplicates(["id", "text_hash"]).join(met, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    start = F.col("pos") - F.col("offset")
+    near = near.where((start >= 0) & (start + F.col("k") <= F.size("w"))).where(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("k")) == F.col("s"))
+    lined = start - F.col("at")
+    near = near.select("id", "text_hash", "set", lined.alias("lined"), F.slice("w", F.greatest(lined - F.col("n"), F.lit(0)) + 1, 3 * F.col("n")).alias("region"))
+    near = near.groupBy("id", "text_hash", "set", "lined").agg(F.first("region").alias("region"))
+    near = near.join(F.broadcast(sets) if few else sets, "set")
+    which = F.transform(F.sequence(F.lit(1), F.size("region") - F.col("k") + 1), lambda i: F.array_position("shingles", F.slice("region", i, F.col("k"))))
+    near = near.withColumn("which", which)
+    inside = lambda i: F.size(F.array_distinct(F.filter(F.slice("which", i, F.col("n") - F.col("k") + 1), lambda x: x > 0)))
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("which")), inside))
+    return near.withColumn("best", best).where(F.col("best") >= F.col("need")).select("id", "text_hash", "item", (F.col("best") / F.col("m")).alias("contained"))
+
+
+def drop_containing(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that contain no item, as ``contained_items`` has it."""
+    bad = contained_items(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash")), "left_anti")
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents without those that ``contamination`` marks; a row with a null id stays."""
     bad = contamination(docs, items, id_col=id_col, **options).where("contaminated").select(id_col).distinct()

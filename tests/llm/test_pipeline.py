@@ -2,7 +2,7 @@
 
 import corpus_pipeline as P
 from test_hashing_and_near import brute as brute_near
-from test_selection import fill, plain_hits, plain_words
+from test_selection import fill, plain_contained, plain_words
 from test_text_removal import brute_lines
 
 from quernstone.llm import language
@@ -38,10 +38,11 @@ def test_stages(spark, sf_dir, tmp_path):
     assert {r.doc_id for r in got.collect()} == want and got.columns == columns and 1005 not in want
 
     items = [(r.item_id, r.text) for r in spark.read.parquet(str(tmp_path / "benchmark.parquet")).collect()]
-    grams = {tuple(plain_words(t)[k : k + 8]) for _, t in items for k in range(len(plain_words(t)))}
-    near = [(r.doc_id, r.text) for r in got.collect()]
-    near = {i: t for i, t in near if any(tuple(plain_words(t)[k : k + 8]) in grams for k in range(len(plain_words(t)))) or len(plain_words(t)) < 8}
-    bad = {i for i, t in near.items() if plain_hits(t, items, 8)[2]}
+    grams = {tuple(plain_words(t)[k : k + 5]) for _, t in items for k in range(len(plain_words(t)))}
+    near = {r.doc_id: plain_words(r.text) for r in got.collect()}
+    texts = {r.doc_id: r.text for r in got.collect()}
+    near = [i for i, w in near.items() if any(tuple(w[k : k + 5]) in grams for k in range(len(w)))]
+    bad = {i for i in near if plain_contained(texts[i], items, 5, 0.8)}
     want -= bad
     got = stage(steps["decontamination"](spark, got, str(tmp_path)), "d")
     assert {r.doc_id for r in got.collect()} == want and got.columns == columns and 1003 in bad

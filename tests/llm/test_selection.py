@@ -149,6 +149,49 @@ def test_hits_are_those_of_all_windows(spark, monkeypatch, seed, small):
     assert kept == {i for i, v in want.items() if len(v[2]) < 2}
 
 
+def plain_contained(text, items, shingle, share):
+    w, found = plain_words(text), set()
+    for i, t in items:
+        x = plain_words(t)
+        k = min(shingle, len(x))
+        own = {tuple(x[a : a + k]) for a in range(len(x) - k + 1)} if x else set()
+        for a in range(max(1, len(w) - len(x) + 1)):
+            part = w[a : a + len(x)]
+            have = {tuple(part[b : b + k]) for b in range(len(part) - k + 1)} & own
+            if own and len(have) >= share * len(own) - 1e-9:
+                found.add(str(i))
+    return found
+
+
+@pytest.mark.parametrize(("seed", "small", "share"), [(1, 400_000, 0.8), (2, 0, 0.8), (3, 400_000, 0.5), (4, 400_000, 1.0)])
+def test_contained_items_are_those_of_all_windows(spark, monkeypatch, seed, small, share):
+    monkeypatch.setattr(decontaminate, "SMALL", small)
+    rng = random.Random(seed)
+    word = lambda: rng.choice("the of a é É x1 ab cd".split()) if rng.random() < 0.5 else rng.choice("klm nop qrs tuv wxy zab cde fgh".split()) + str(rng.randrange(9))
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 4, 5, 9, 20, 40])))) for i in range(14)] + [(50, None), (51, "--"), (52, "klm " * 12)]
+    docs = []
+    for i in range(80):
+        own = [word() for _ in range(rng.randrange(0, 30))]
+        for _ in range(rng.randrange(0, 3)):
+            x = (rng.choice(items)[1] or "").split()
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                if x:
+                    x[rng.randrange(len(x))] = rng.choice([word(), "", word() + " " + word()])
+            at = rng.randrange(0, len(own) + 1)
+            own[at:at] = x[rng.choice([0, 0, 2]) :]
+        docs.append((i, rng.choice([" ", "-", "\n"]).join(own)))
+    docs += [(100, None), (101, ""), (None, items[5][1])]
+    df = spark.createDataFrame([(*d, 7) for d in docs], "doc_id long, text string, n int").repartition(3)
+    bench = spark.createDataFrame([*items, (None, "the of")], "item_id long, text string")
+    got = {}
+    for r in decontaminate.contained_items(df, bench, share=share).collect():
+        got.setdefault(r.id, set()).add(r.item)
+    want = {i: f for i, t in docs if (f := plain_contained(t, items, 5, share))}
+    assert got == want and len(want) > 5
+    kept = {r.doc_id for r in decontaminate.drop_containing(df, bench, share=share).collect()}
+    assert kept == {i for i, _ in docs} - set(want)
+
+
 # --- chat ---
 
 
