@@ -9,14 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import partitions, stage
+from ..staging import buckets as count_buckets
+from ..staging import stage
 from .hashing import Words, pieces
 
 #: Differences of places in COVER give all residues of PERIOD, so any two runs of PERIOD places have a pair of them in step.
 PERIOD, COVER = 7, (0, 1, 3)
 #: Entries that a task holds before it hands them on.
 FLUSH = 1 << 21
-PACK = "bucket int, body binary"
+PACK = "bucket int, found boolean, body binary"
 _codec = pa.Codec("zstd", compression_level=1)
 
 
@@ -42,10 +43,14 @@ def _spread(body: bytes) -> list[np.ndarray]:
 
 
 class _Shelf:
-    """Entries (hash, place) of documents on their way to the buckets of their hashes."""
+    """Entries (hash, place) of documents on their way to the buckets of their hashes.
 
-    def __init__(self, buckets: int, width: int):
-        self.buckets, self.width = buckets, width
+    What a task can settle itself does not travel: where several documents of a load have a hash, those that are not the first of them
+    are found by that alone, and only the first one's entries go on. So a bucket gets one document a load of any hash, however common.
+    """
+
+    def __init__(self, buckets: int, width: int, later_only: bool):
+        self.buckets, self.width, self.later_only = buckets, width, later_only
         self.clear()
 
     def clear(self) -> None:
@@ -54,33 +59,64 @@ class _Shelf:
         self.places: list[np.ndarray] = []
         self.n = 0
 
-    def add(self, doc: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> None:
+    def add(self, doc: tuple, hashes: np.ndarray, places: np.ndarray) -> None:
         self.docs.append(np.array([*doc, len(hashes)], np.int64))
         self.hashes.append(hashes)
         self.places.append(places.astype(np.uint32))
         self.n += len(hashes)
 
-    def flush(self) -> Iterator[tuple[int, bytes]]:
-        """Packs: keys (sorted), each entry's document and place, and the documents' ids and text hashes."""
+    def flush(self) -> Iterator[tuple[int, bool, bytes]]:
+        """Packs: of each bucket of hashes, keys (sorted), each entry's document and place, and the documents; and what is found, by document."""
         if not self.n:
             return
         docs, hashes, places = np.stack(self.docs), np.concatenate(self.hashes), np.concatenate(self.places)
+        self.clear()
         owner = np.repeat(np.arange(len(docs), dtype=np.uint32), docs[:, 2])
         bucket = ((hashes >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
         key = hashes if self.width == 8 else hashes & np.uint64(0xFFFFFFFF)
         order = np.lexsort((key, bucket))
         bucket, key, owner, places = bucket[order], key[order], owner[order], places[order]
+        ids = docs[owner, 0]
+        first, found = _settle((key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1]), ids, self.later_only)
+        yield from ((to, True, body) for to, body in _by_document(docs[:, 0], docs[:, 1], owner[found], places[found], self.buckets))
+        bucket, key, owner, places = bucket[first], key[first], owner[first], places[first]
         cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             used, own = np.unique(owner[a:b], return_inverse=True)
             steps = np.diff(key[a:b], prepend=np.uint64(0)).astype(f"u{self.width}")
-            yield int(bucket[a]), _squeeze(steps, own.astype(np.uint32), places[a:b], docs[used, 0], docs[used, 1])
-        self.clear()
+            yield int(bucket[a]), False, _squeeze(steps, own.astype(np.uint32), places[a:b], docs[used, 0], docs[used, 1])
+
+
+def _settle(change: np.ndarray, ids: np.ndarray, later_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted entries, split at ``change``: which are of their group's smallest id, and which are found: in a group of two ids or more, and
+    if ``later_only`` not of the smallest."""
+    at = np.flatnonzero(np.concatenate([[True], change]))
+    group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(ids))))
+    least, most = np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
+    first = ids == least[group]
+    return first, ~first if later_only else (least < most)[group]
 
 
-def _rows(found: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    for bucket, body in found:
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([body], pa.binary())], ["bucket", "body"])
+def _by_document(ids: np.ndarray, marks: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Packs of places, dealt by document."""
+    if not len(doc):
+        return
+    to = deal(ids, buckets)[doc]
+    order = np.lexsort((place, doc, to))
+    doc, place, to = doc[order], place[order], to[order]
+    cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
+        used, own = np.unique(doc[a:b], return_inverse=True)
+        yield int(to[a]), _squeeze(own.astype(np.uint32), place[a:b], ids[used], marks[used])
+
+
+def _table(found: list[tuple[int, bool, bytes]]) -> pa.Table:
+    return pa.table([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.bool_()), pa.array([x[2] for x in found], pa.binary())], ["bucket", "found", "body"])
+
+
+def _rows(found: Iterator[tuple[int, bool, bytes]]) -> Iterator[pa.RecordBatch]:
+    for x in found:
+        yield from _table([x]).to_batches()
 
 
 def _is_cover(place: np.ndarray) -> np.ndarray:
@@ -91,7 +127,7 @@ def _anchors(window: int, buckets: int):
     size = window - PERIOD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shelf = _Shelf(buckets, 4)
+        shelf = _Shelf(buckets, 4, later_only=False)
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, to, data, bounds in pieces(batch.column(2)):
@@ -109,11 +145,14 @@ def _anchors(window: int, buckets: int):
 
 
 def _shared(later_only: bool, buckets: int):
-    """Of one bucket's packs: the entries whose hash is in two documents (in one of a smaller id, if later_only), dealt by document."""
+    """Of one bucket's packs: what tasks found, and the entries whose hash is in two documents (in one of a smaller id, if later_only)."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, docs, places, ids, marks, base = [], [], [], [], [], 0
-        for body in table.column("body").to_pylist():
+        keys, docs, places, ids, marks, base, out = [], [], [], [], [], 0, []
+        for bucket, done, body in zip(*(table.column(c).to_pylist() for c in ("bucket", "found", "body")), strict=True):
+            if done:
+                out.append((bucket, True, body))
+                continue
             steps, own, place, doc, mark = _spread(body)
             keys.append(np.cumsum(steps, dtype=np.uint64))
             docs.append(own.astype(np.int64) + base)
@@ -121,30 +160,13 @@ def _shared(later_only: bool, buckets: int):
             ids.append(doc.view(np.int64))
             marks.append(mark.view(np.int64))
             base += len(doc)
-        key, doc, place, ids, marks = map(np.concatenate, (keys, docs, places, ids, marks))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        same = key[1:] == key[:-1]
-        more = np.zeros(len(key), bool)
-        more[1:] |= same
-        more[:-1] |= same
-        key, order = key[more], order[more]
-        doc, place = doc[order], place[order]
-        out = []
-        if len(key):
-            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            least, most = np.minimum.reduceat(ids[doc], at), np.maximum.reduceat(ids[doc], at)
-            group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
-            keep = ids[doc] > least[group] if later_only else (least < most)[group]
-            doc, place = doc[keep], place[keep]
-            to = deal(ids, buckets)[doc]
-            order = np.lexsort((place, doc, to))
-            doc, place, to = doc[order], place[order], to[order]
-            cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist() if len(to) else []
-            for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
-                used, own = np.unique(doc[a:b], return_inverse=True)
-                out.append((int(to[a]), _squeeze(own.astype(np.uint32), place[a:b], ids[used], marks[used])))
-        return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "body"])
+        if keys:
+            key, doc, place, ids, marks = map(np.concatenate, (keys, docs, places, ids, marks))
+            order = np.argsort(key, kind="stable")
+            key, doc, place = key[order], doc[order], place[order]
+            found = _settle(key[1:] != key[:-1], ids[doc], later_only)[1]
+            out += [(to, True, body) for to, body in _by_document(ids, marks, doc[found], place[found], buckets)]
+        return _table(out)
 
     return run
 
@@ -186,7 +208,7 @@ def _windows(window: int, buckets: int):
     """The whole windows that hold an anchor of two documents, on their way to the buckets of their hashes."""
 
     def run(docs: pa.Table, packs: pa.Table) -> pa.Table:
-        found, shelf, out = _places(packs), _Shelf(buckets, 8), []
+        found, shelf, out = _places(packs), _Shelf(buckets, 8, later_only=True), []
         docs = docs.filter(pa.compute.is_valid(docs.column("id"))).combine_chunks()
         ids, marks = docs.column("id").to_numpy(), docs.column("mark").to_numpy()
         for first, to, data, bounds in pieces(docs.column("text")):
@@ -202,7 +224,7 @@ def _windows(window: int, buckets: int):
             if shelf.n >= FLUSH:
                 out += shelf.flush()
         out += shelf.flush()
-        return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "body"])
+        return _table(out)
 
     return run
 
@@ -241,14 +263,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     2. Anchors of two documents or more are extended: the whole windows around them are hashed, and the smallest id of each is found.
     3. Words under a window of a smaller id go.
 
-    Hashes travel as sorted, compressed packs, dealt by hash; what is found travels back dealt by document. Words are runs without ASCII
+    Hashes travel as sorted, compressed packs, dealt by hash, after each task has settled what its own documents have in common; what is
+    found travels back dealt by document. Words are runs without ASCII
     white space, unchanged. Returns a row per input row: id_col, n_words, n_removed, text (kept words, joined by one space). Null, empty
     and short texts lose nothing, nor does a row with a null id, which is no earlier copy of others either. Rows that share an id
     are judged each by its text and are no earlier copies of each other. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    buckets = partitions(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    buckets = count_buckets(source)
     whole = source.mapInArrow(_deal(buckets), "bucket int, id long, mark long, text string")
     anchors = source.where("id is not null").mapInArrow(_anchors(window, buckets), PACK)
     shared = stage(anchors.groupBy("bucket").applyInArrow(_shared(False, buckets), PACK), "shared")
