@@ -18,25 +18,24 @@ PERIOD, COVER = 7, (0, 1, 3)
 #: Entries that a task holds before it hands them on.
 FLUSH = 1 << 21
 PACK = "bucket int, found boolean, body binary"
-_codec = pa.Codec("zstd", compression_level=1)
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
     """The arrays by planes of bytes, compressed: the high bytes of sorted or small numbers cost next to nothing."""
-    parts = []
+    parts, codec = [], pa.Codec("zstd", compression_level=1)
     for x in arrays:
         raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
-        packed = _codec.compress(raw, asbytes=True) if raw else b""
+        packed = codec.compress(raw, asbytes=True) if raw else b""
         parts += [np.array([len(x), x.dtype.itemsize, len(packed)], np.int64).tobytes(), packed]
     return b"".join(parts)
 
 
 def _spread(body: bytes) -> list[np.ndarray]:
-    found, at = [], 0
+    found, at, codec = [], 0, pa.Codec("zstd")
     while at < len(body):
         n, width, size = np.frombuffer(body, np.int64, 3, at).tolist()
         at += 24
-        raw = np.frombuffer(_codec.decompress(body[at : at + size], n * width, asbytes=True) if size else b"", np.uint8)
+        raw = np.frombuffer(codec.decompress(body[at : at + size], n * width, asbytes=True) if size else b"", np.uint8)
         found.append(np.ascontiguousarray(raw.reshape(width, n).T).reshape(-1).view(f"u{width}"))
         at += size
     return found
