@@ -132,8 +132,8 @@ def contained_items(
 
     An item's shingles are ordered by rarity, the count over all documents of their rarest word. A window may lack m - need of the m, so
     one of the m - need + 1 rarest is in it whole: they are the necessary prefix. Document words are joined with the prefix shingles'
-    rarest words, whose place gives the only place that the shingle can have; the shingle is verified there, and only windows that reach
-    over it are counted, word by word, with the document's ends as bounds.
+    rarest words, whose place gives the only place that the shingle can have; the shingle is verified there word by word, and only windows
+    that reach over it are counted, by 64-bit hashes of their shingles, with the document's ends as bounds.
 
     Returns id, text_hash (together they name a row), item, contained (the largest share), a row for each item and place it was found at.
     An item shorter than a shingle is one shingle; items without words or with a null id take no part, nor do documents without words.
@@ -144,9 +144,9 @@ def contained_items(
     each = listed.select("item", "w", "n", "k", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("k"))).alias("at"))
     each = each.select("item", "w", "n", "k", "at", F.slice("w", F.col("at") + 1, F.col("k")).alias("s"))
     each = each.groupBy("item", "w", "n", "k", "s").agg(F.min("at").alias("at"))
-    sets = each.groupBy("item", "w", "n", "k").agg(F.collect_list("s").alias("shingles"), F.count("*").alias("m"))
+    sets = each.groupBy("item", "w", "n", "k").agg(F.collect_set(F.xxhash64("s")).alias("hashes"), F.count("*").alias("m"))
     need = F.ceil(F.col("m") * share - 1e-9).cast("int")
-    sets = stage(sets.select(F.xxhash64("item", "w").alias("set"), "item", "n", "k", "m", "shingles", need.alias("need")), "sets")
+    sets = stage(sets.select(F.xxhash64("item", "w").alias("set"), "item", "n", "k", "m", "hashes", need.alias("need")), "sets")
     each = stage(each.select(F.xxhash64("item", "w").alias("set"), "s", "at"), "shingles")
     vocab = stage(each.select(F.explode("s").alias("word")).distinct(), "vocab")
     few = is_small(vocab, SMALL) and is_small(each, SMALL)
@@ -168,10 +168,12 @@ def contained_items(
     near = near.select("id", "text_hash", "set", lined.alias("lined"), F.slice("w", F.greatest(lined - F.col("n"), F.lit(0)) + 1, 3 * F.col("n")).alias("region"))
     near = near.groupBy("id", "text_hash", "set", "lined").agg(F.first("region").alias("region"))
     near = near.join(F.broadcast(sets) if few else sets, "set")
-    which = F.transform(F.sequence(F.lit(1), F.size("region") - F.col("k") + 1), lambda i: F.array_position("shingles", F.slice("region", i, F.col("k"))))
-    near = near.withColumn("which", which)
-    inside = lambda i: F.size(F.array_distinct(F.filter(F.slice("which", i, F.col("n") - F.col("k") + 1), lambda x: x > 0)))
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("which")), inside))
+    which = F.transform(F.sequence(F.lit(1), F.size("region") - F.col("k") + 1), lambda i: F.array_position("hashes", F.xxhash64(F.slice("region", i, F.col("k")))))
+    near = near.withColumn("which", F.explode(F.array(which)))  # a generated column is made once, not for each window again
+    found = lambda x: F.size(F.array_distinct(F.filter(x, lambda y: y > 0)))
+    near = near.where(found(F.col("which")) >= F.col("need"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("which")), lambda i: F.col("which")[i - 1] > 0)
+    best = F.array_max(F.transform(starts, lambda i: found(F.slice("which", i, F.col("n") - F.col("k") + 1))))
     return near.withColumn("best", best).where(F.col("best") >= F.col("need")).select("id", "text_hash", "item", (F.col("best") / F.col("m")).alias("contained"))
 
 
