@@ -1,8 +1 @@
 """quernstone: a Spark-first analytics library (DataFrame, SQL and Spark ML only)."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# functions of this package that run on executors travel whole, so executors need not have the package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def session(cores: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings the library is tested under; on a cluster, pass your own session instead."""
-    return (
+    made = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("quernstone")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -20,6 +20,7 @@ def session(cores: str | int = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    return share_path(made)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +34,11 @@ def driver_tables() -> tuple[str, ...]:
     ).split()
 
 
-def has_cluster_dir(spark: SparkSession) -> bool:
-    return bool(spark.conf.get("spark.checkpoint.dir", ""))
-
-
-def repo_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+def share_path(spark: SparkSession) -> SparkSession:
+    """Let Python workers that see this machine's files import the package from where it is; elsewhere it must be installed or sent."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment
+    paths = [p for p in (known.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
