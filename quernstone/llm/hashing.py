@@ -27,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, (1 << 19) + 1)
+        size = max(n, (1 << 18) + 1)
         _powers[:] = [np.concatenate([[np.uint64(1)], np.full(size - 1, b)]).cumprod(dtype=np.uint64) for b in (_BASE, _INVERSE)]
     return _powers[0], _powers[1]
 
@@ -77,7 +77,7 @@ def _weight(j: int) -> np.uint64:
     return np.uint64((0xA0761D6478BD642F * (2 * j + 1) ^ (0xE7037ED1A0B428DB * (j + 1))) & 0xFFFFFFFFFFFFFFFF | 1)
 
 
-def pieces(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, bounds) of slices of a string column, of about ``most`` bytes each or one text; nulls are empty."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -21,9 +21,11 @@ LETTERS = re.compile(r"[^\W\d_]+")
 EDGE = "▁"
 LONGEST = 12
 #: Words whose scores a Python worker keeps.
-MEMORY = 150_000
+MEMORY = 100_000
 #: Parts in which a language's rows are cut down to the sample before they meet.
 SPREAD = 32
+#: Rows that are scored, and handed on, at once.
+ROWS = 256
 #: A longer run of letters is scored in parts of this length.
 WORD = 64
 
@@ -141,13 +143,13 @@ def _predict(model: LanguageModel, text_col: str, hide: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: dict[str, int] = {}
         table = np.zeros((1024, len(model.langs)))
-        for batch in batches:
+        for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, max(1, whole.num_rows), ROWS)):
             column = batch.column(batch.schema.get_field_index(text_col))
             langs: list[str] = []
             odds: list[float] = []
             fits: list[float] = []
-            for a in range(0, len(column), 256):
-                found = [Counter(LETTERS.findall(t.lower())) if t else Counter() for t in column.slice(a, 256).to_pylist()]
+            if len(column):
+                found = [Counter(LETTERS.findall(t.lower())) if t else Counter() for t in column.to_pylist()]
                 new = list({w for c in found for w in c if w not in index})
                 if len(index) + len(new) > MEMORY:
                     index.clear()
@@ -186,7 +188,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", k
 
     A text's words are its runs of letters, lower-cased; a word's odds in a language are the sum over all its segmentations into
     pieces, and a text's the product of its words'. ``und`` with score 0 is for texts that are null or hold no letter, and for all if
-    nothing was learned. Whole texts are read; a worker keeps the scores of at most 150,000 words. Ties go to the first language by name.
+    nothing was learned. Whole texts are read; a worker keeps the scores of at most 100,000 words. Ties go to the first language by name.
     ``prefix`` goes before the new names, where the kept columns have these. An empty table gives an empty result.
     """
     hide = text_col not in keep

@@ -36,7 +36,7 @@ def superminhash(sets: list[np.ndarray], m: int = SIGNATURE) -> np.ndarray:
     return kept
 
 
-def _cuts(sets: list[np.ndarray], most: int = 100_000) -> Iterator[slice]:
+def _cuts(sets: list[np.ndarray], most: int = 32_000) -> Iterator[slice]:
     """Slices of the elements at the ends of sets; a set that is larger than ``most`` is one."""
     ends = np.cumsum([len(s) for s in sets]) if sets else np.zeros(1, int)
     at = 0
