@@ -28,6 +28,8 @@ SPREAD = 32
 ROWS = 256
 #: A longer run of letters is scored in parts of this length.
 WORD = 64
+#: Steps after which sums are divided by the last. In as many and LONGEST more, sums fall to 1e-196 at least at a floor of 1e-7 (float64: 1e-308).
+RESCALE = 16
 
 
 def read_pieces(path: str) -> list[str]:
@@ -52,7 +54,8 @@ class LanguageModel:
         """log of the summed odds of all segmentations (words x langs), by the forward algorithm; all words of one length a step at a time."""
         out = np.empty((len(words), len(self.langs)))
         for at, grid in _by_length(words, self.index):
-            out[at] = np.log(_forward(grid, self.odds, self.floor)[-1])
+            total, log = _forward(grid, self.odds, self.floor)[-1]
+            out[at] = np.log(total) + log
         return out
 
 
@@ -70,30 +73,47 @@ def _by_length(words: list[str], index: dict[str, int], block: int = 8192) -> It
             yield np.array(part), grid
 
 
-def _forward(grid: dict[tuple[int, int], np.ndarray], odds: np.ndarray, floor: float) -> list[np.ndarray]:
+def _forward(grid: dict[tuple[int, int], np.ndarray], odds: np.ndarray, floor: float) -> list[tuple[np.ndarray, np.ndarray | float]]:
+    """For each place, the sum up to it and the log of what that was divided by (see RESCALE)."""
     end = max(e for _, e in grid)
     rows = len(next(iter(grid.values())))
     padded = np.vstack([odds, np.zeros((1, odds.shape[1]))])
-    sums = [np.ones((rows, odds.shape[1]))]
+    near, log = [np.ones((rows, odds.shape[1]))], 0.0
+    out = [(near[0], log)]
     for e in range(1, end + 1):
-        total = sums[e - 1] * floor
+        total = near[e - 1] * floor
         for s in range(max(0, e - LONGEST), e):
-            total = total + sums[s] * padded[grid[s, e]]
-        sums.append(total)
-    return sums
-
-
-def _backward(grid: dict[tuple[int, int], np.ndarray], odds: np.ndarray, floor: float) -> list[np.ndarray]:
+            total = total + near[s] * padded[grid[s, e]]
+        near.append(total)
+        out.append((total, log))
+        if e % RESCALE == 0:
+            log = log + np.log(total)
+            for s in range(max(0, e + 1 - LONGEST), e + 1):
+                near[s] = near[s] / total
+    return out
+
+
+def _backward(grid: dict[tuple[int, int], np.ndarray], odds: np.ndarray, floor: float) -> list[tuple[np.ndarray, np.ndarray | float]]:
+    """For each place, the sum from it on and the log of what that was divided by (see RESCALE)."""
     end = max(e for _, e in grid)
     rows = len(next(iter(grid.values())))
     padded = np.vstack([odds, np.zeros((1, odds.shape[1]))])
-    sums = [np.ones((rows, odds.shape[1]))] * (end + 1)
+    near, log = [np.ones((rows, odds.shape[1]))] * (end + 1), 0.0
+    out = [(near[end], log)] * (end + 1)
     for s in range(end - 1, -1, -1):
-        total = sums[s + 1] * floor
+        total = near[s + 1] * floor
         for e in range(s + 1, min(end, s + LONGEST) + 1):
-            total = total + padded[grid[s, e]] * sums[e]
-        sums[s] = total
-    return sums
+            total = total + padded[grid[s, e]] * near[e]
+        near[s], out[s] = total, (total, log)
+        if (end - s) % RESCALE == 0:
+            log = log + np.log(total)
+            for e in range(s, min(end + 1, s + LONGEST)):
+                near[e] = near[e] / total
+    return out
+
+
+def _logs(sums: list[tuple[np.ndarray, np.ndarray | float]]) -> list[np.ndarray]:
+    return [np.log(total) + log for total, log in sums]
 
 
 def estimate(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 2, floor: float = 1e-7) -> LanguageModel:
@@ -108,11 +128,11 @@ def estimate(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int =
         for _ in range(rounds):
             seen = np.zeros(len(pieces) + 1)
             for at, grid in grids:
-                ahead, back = _forward(grid, own, floor), _backward(grid, own, floor)
+                ahead, back = _logs(_forward(grid, own, floor)), _logs(_backward(grid, own, floor))
                 padded = np.vstack([own, np.zeros((1, 1))])
-                weight = times[at] / ahead[-1][:, 0]
                 for (s, e), ids in grid.items():
-                    seen += np.bincount(ids % (len(pieces) + 1), weights=weight * ahead[s][:, 0] * padded[ids, 0] * back[e][:, 0], minlength=len(seen))
+                    rest = np.exp(ahead[s][:, 0] + back[e][:, 0] - ahead[-1][:, 0])
+                    seen += np.bincount(ids % (len(pieces) + 1), weights=times[at] * rest * padded[ids, 0], minlength=len(seen))
             own = ((seen[:-1] + 0.01) / (seen[:-1].sum() + 0.01 * len(pieces)))[:, None]
         odds[:, k] = own[:, 0]
     return LanguageModel(langs, index, odds, floor)
@@ -187,7 +207,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", k
     """The columns ``keep`` and lang_pred, score (its odds among the learned languages, 0 to 1) and fit (log odds a letter) of each row.
 
     A text's words are its runs of letters, lower-cased; a word's odds in a language are the sum over all its segmentations into
-    pieces, and a text's the product of its words'. ``und`` with score 0 is for texts that are null or hold no letter, and for all if
+    pieces, and a text's the product of its words' (a run of more than 64 letters is taken as words of 64). ``und`` with score 0 is for texts that are null or hold no letter, and for all if
     nothing was learned. Whole texts are read; a worker keeps the scores of at most 100,000 words. Ties go to the first language by name.
     ``prefix`` goes before the new names, where the kept columns have these. An empty table gives an empty result.
     """

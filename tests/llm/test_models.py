@@ -44,6 +44,36 @@ def test_estimation_raises_likelihood():
     assert fit == sorted(fit)
 
 
+@pytest.mark.parametrize("n", [15, 16, 17, 48, 64, 3000])
+def test_long_runs_of_unlearned_letters_do_not_underflow(n):
+    index = {p: i for i, p in enumerate(["a", "ab", language.EDGE])}
+    model = language.LanguageModel(["x", "y"], index, np.array([[0.2, 0.3], [0.1, 0.05], [0.4, 0.4]]), 1e-7)
+    (got,) = model.word_scores(["語" * n])
+    assert got == pytest.approx([math.log(0.4 + 1e-7) + n * math.log(1e-7)] * 2, rel=1e-12)
+    # the same sums from both ends, over rescaled places; a and ab stand between the unlearned letters
+    ((_, grid),) = language._by_length([("語" * 30 + "ab") * (n // 30 + 1)], index)
+    ahead, back = (language._logs(f(grid, model.odds, 1e-7)) for f in (language._forward, language._backward))
+    assert back[0] == pytest.approx(ahead[-1], rel=1e-12) and np.isfinite(ahead[-1]).all()
+    pieces = ["a", "ab", "b", language.EDGE]
+    short, long = {"x": {"ab": 5, "a": 9, "b": 2}, "y": {"b": 7}}, {"x": {"ab": 5, "a": 9, "b": 2, "語" * n: 1}, "y": {"b": 7, "語" * n + "b": 3}}
+    want, learned = language.estimate(short, pieces), language.estimate(long, pieces)
+    assert np.isfinite(learned.odds).all() and learned.odds.sum(axis=0) == pytest.approx([1, 1])
+    assert learned.odds[:3, 0].argmax() == want.odds[:3, 0].argmax() and learned.odds[:3, 1].argmax() == 2
+
+
+def test_long_unlearned_runs_in_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    runs = [("en", "語" * 3000), ("de", "".join(map(chr, range(0x4E00, 0x4E00 + 2000))))]
+    model = language.fit_languages(docs.select("text", "lang").unionByName(spark.createDataFrame(runs, "lang string, text string")))
+    assert np.isfinite(model.odds).all()
+    text = {x: docs.where(f"lang = '{x}' and n_chars > 300").orderBy("doc_id").first().text for x in ("en", "de")}
+    rows = [(1, text["en"] + " " + "語" * 52), (2, text["de"] + " " + runs[1][1][:50]), (3, text["en"] + " " + "ሀ" * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in language.identify(df, model).collect()}
+    assert got[1].lang_pred == "en" and got[2].lang_pred == "de" and all(0 <= r.score <= 1 and math.isfinite(r.fit) for r in got.values())
+    assert {1, 2} <= {r.doc_id for r in language.keep_identified(df, model).collect()} and got[3].fit < -8
+
+
 def test_held_out_accuracy(spark, sf_dir):
     got = Q.op1_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r.held_out]
