@@ -27,6 +27,8 @@ CHROME_WORDS = frozenset(
     "ad ads advert advertisement adverts sponsor sponsored promo banner cookie cookies consent notice notices gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus "
     "share sharing social related newsletter subscribe popup modal widget pagination pager masthead toolbar".split()
 )
+#: Class names and ids of what readers wrote: an article in it is a reader's. Not those that say whether a page has comments.
+COMMENTS = re.compile(r"(?:^|\s)(?:comments?|disqus)(?![a-z])(?![-_](?:open|opened|closed|enabled|disabled|on|off|allowed)\b)")
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -54,7 +56,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _is_chrome(tag: str, raw: str, inside: bool) -> tuple[bool, bool, bool]:
-    """(is chrome, is marked as the main part, is chrome by the words of its class or id alone)."""
+    """(is chrome, is marked as the main part, is chrome by words of its class or id alone, and no comments: so not if it holds the main part)."""
     if tag in CHROME or tag == "header" and not inside:
         return True, False, False
     if not raw.strip(" /"):
@@ -64,9 +66,9 @@ def _is_chrome(tag: str, raw: str, inside: bool) -> tuple[bool, bool, bool]:
     main = tag in ("article", "main") or role == "main" or at.get("itemprop", "").lower() == "articlebody"
     if role in CHROME_ROLES or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", ""):
         return True, False, False
-    words = set(WORD.findall((at.get("class", "") + " " + at.get("id", "")).lower()))
-    named = tag not in ("html", "body") and not main and bool(words & CHROME_WORDS)
-    return named, main, named
+    said = (at.get("class", "") + " " + at.get("id", "")).lower()
+    named = tag not in ("html", "body") and not main and bool(set(WORD.findall(said)) & CHROME_WORDS)
+    return named, main, named and not COMMENTS.search(said)
 
 
 def parse(page: str) -> list[tuple[str, Element]]:
@@ -135,14 +137,13 @@ def parse(page: str) -> list[tuple[str, Element]]:
                 shut({"p"}, {"table", "td", "th", "button", "object"})
             if name in CLOSES:
                 shut(CLOSES[name], SCOPES[name])
-            inside, e = False, top
-            while e is not None and not inside:
-                inside, e = e.main, e.parent
+            inside = any(e.main for e in _line(top))
             drop, main, named = _is_chrome(name, raw, inside)
-            if main and not any_main:  # what holds the page's first main element is no chrome, whatever its class says
-                e, any_main = top, True
-                while e is not None:
-                    e.drop, e = e.drop and not e.named, e.parent
+            # what holds the page's first main element is no chrome, whatever its class says; one in comments or other chrome is not meant
+            if main and not any_main and not any(e.drop and not e.named for e in _line(top)):
+                any_main = True
+                for e in _line(top):
+                    e.drop = False
             top = Element(name, top, drop, main, named)
     flush()
     while top.parent is not None:
@@ -158,14 +159,14 @@ def _line(e: Element) -> list[Element]:
     return out
 
 
-def _main_blocks(blocks: list[tuple[str, Element]]) -> tuple[list[tuple[str, list[Element], bool]], bool]:
-    """Blocks outside chrome, with their elements from the inside out and whether a main element holds them; whether there is one at all."""
+def _main_blocks(blocks: list[tuple[str, Element]]) -> list[tuple[str, list[Element], bool]]:
+    """Blocks outside chrome, with their elements from the inside out and whether a main element holds them."""
     kept = []
     for said, e in blocks:
         line = _line(e)
         if not any(x.drop for x in line):
             kept.append((said, line, any(x.main for x in line)))
-    return kept, any(x[2] for x in kept)
+    return kept
 
 
 def template_hashes(page: str) -> set[int]:
@@ -184,11 +185,8 @@ def template_hashes(page: str) -> set[int]:
 
 def main_text(page: str, templates: dict[int, int]) -> str:
     """The main text of a page. ``templates``: 1 if a subtree of this hash goes outside the main element, 2 if inside too."""
-    kept, has_main = _main_blocks(parse(page))
     out = []
-    for said, line, inside in kept:
-        if has_main and not inside:
-            continue
+    for said, line, inside in _main_blocks(parse(page)):
         least = 2 if inside else 1
         if not any(templates.get(x.hash, 0) >= least for x in line if not (x.main or x.tag in ("html", "body"))):
             out.append(said)
@@ -232,7 +230,7 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
 
     A first pass hashes each page's element subtrees and counts them per host (``site_templates``); a second deletes the subtrees that
     recur, and elements whose name, role or class marks them as chrome (menus, footers, notices, adverts, forms, comments, ...).
-    If the page has an article or main element, what is outside is left out. Blocks are joined by a line break; inside one,
+    Both hold inside and outside an article or main element; inside, a subtree must recur on more pages. Blocks are joined by a line break; inside one,
     character references are decoded and white space is one space.
 
     Pages and templates meet by host and one of 16 salts, so a large host is split over many tasks. Null and empty html give an

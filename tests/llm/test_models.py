@@ -142,6 +142,24 @@ def test_articles_keep_what_recurs_on_some_pages(spark):
     assert got[1] == "Own 1" and got[4] == "Own 4\nPassage that recurs"
 
 
+def test_what_is_outside_an_article_goes_only_if_it_recurs_or_is_chrome(spark):
+    page = "<body><div class=brand>Site name</div><div class=story><p>Story {0}</p><p>goes on {0}</p></div><article><p>Teaser {0}</p></article><nav>Menu {0}</nav></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(i)) for i in range(12)]
+    got = {r.page_id: r.text for r in pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}\ngoes on {i}\nTeaser {i}" for i in range(12)}
+
+
+def test_an_article_in_comments_or_chrome_is_not_the_main_part():
+    reader = "<article><p>reader</p></article>"
+    for mark in ("class=comments", "class='comment-list wide'", "id=disqus_thread", "class='x comments-area'"):
+        page = f"<body><div {mark}>{reader}</div><div class='page widget'><article><p>kept</p></article></div></body>"
+        assert pages.main_text(page, {}) == "kept"
+        assert pages.main_text(f"<div class=story><p>kept</p></div><section {mark}>{reader}</section>", {}) == "kept"
+    assert pages.main_text(f"<aside>{reader}</aside><div class=widget><article><p>kept</p></article></div>", {}) == "kept"
+    for mark in ("comments-open", "has-comments", "no-comments widget"):
+        assert pages.main_text(f"<div class='{mark}'><article><p>kept</p></article></div>", {}) == "kept"
+
+
 # --- urls ---
 
 
