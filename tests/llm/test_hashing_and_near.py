@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -89,6 +90,17 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, block):
     assert len({v[1] for v in want.values()}) < 120
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_signatures_miss_far_less_than_bands_do(percent):
+    p, m = percent / 100, near.SIGNATURE
+    miss = sum(math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(m + 1) if k / m < p - near.SLACK)
+    assert miss < 1e-3 * (1 - p**near.ROWS) ** near.BANDS
+    # 80 or 85 words of 100: a pair at the threshold, whose signatures agree in 80 of 125 places
+    texts = pa.chunked_array([pa.array([" ".join(f"w{i}" for i in range(percent)), " ".join(f"w{i}" for i in range(100))])])
+    signed = [bytes(m), bytes(80) + b"\x01" * (m - 80)]
+    assert near.forest(np.array([1, 2]), texts, signed, percent, 1) == ([1], [2])
+
+
 def test_null_ids_and_repeated_rows(spark):
     text = " ".join(map(str, range(30)))
     df = spark.createDataFrame([(None, text), (2, text), (2, text), (1, text), (None, None)], "doc_id long, text string")
