@@ -34,9 +34,12 @@ def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with how often: sources weigh 1, 2, 3 in turn, at most 3 copies of each."""
-    mix = mixing.pareto_mix(docs).where("copies > 0").drop("source").withColumnRenamed("doc_id", "_id").dropDuplicates(["_id"])
-    return docs.join(mix, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    """The documents that the mix takes, with how often: sources weigh 1, 2, 3 in turn, at most 3 copies of each.
+
+    Each row has its own size, target, copies and taken, also those with a null id or an id that others have. Rows of one id draw the
+    same number, so of one source they are taken in order of size, then of a hash of the row.
+    """
+    return mixing.pareto_mix(docs, keep=tuple(docs.columns)).where("copies > 0")
 
 
 STAGES = [

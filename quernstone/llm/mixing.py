@@ -52,6 +52,7 @@ def pareto_mix(
     max_copies: int = 3,
     appeal_col: str | None = None,
     seed: int = 17,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """How many copies of each document a mix takes.
 
@@ -64,7 +65,8 @@ def pareto_mix(
     Returns a row per input row: ``id_col``, ``source_col``, size, source_size, target, copies, taken. A size counts runs of
     characters other than white space of ASCII; null and empty texts have size 0 and take 0 words. Null sources are one source, after the others.
     Rows of the same id and size draw the same number, are next to each other in the order and can't be told apart in the result.
-    A null or negative appeal counts as 0. An empty table gives an empty result. Other columns are not read.
+    A null or negative appeal counts as 0. An empty table gives an empty result. Other columns are not read,
+    but with ``keep``, these columns of each row stand in place of id and source, and tied rows are ordered by a hash of them.
     """
     appeal = F.greatest(F.coalesce(F.col(appeal_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if appeal_col else F.lit(1.0)
     sized = docs.select(
@@ -74,6 +76,7 @@ def pareto_mix(
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         appeal.alias("appeal"),
         uniform(id_col, seed).alias("u"),
+        *([F.struct(*keep).alias("row")] if keep else []),
     )
     sized = stage(sized, "sized")
     totals = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("appeal")).alias("pull"))
@@ -91,7 +94,8 @@ def pareto_mix(
     drawn = drawn.withColumn("rank", F.when(free, odds / (1.0 + odds)))
     drawn = drawn.withColumn("bin", F.floor(F.col("rank") * BINS).cast("long"))
     drawn = drawn.withColumn("fine", F.floor((F.col("rank") * BINS - F.col("bin")) * BINS).cast("long"))
-    drawn = stage(drawn.select("id", "source", "key", "size", "source_size", "target", "whole", "rank", "bin", "fine"), "drawn")
+    carried = ["row"] if keep else []
+    drawn = stage(drawn.select("id", "source", "key", "size", "source_size", "target", "whole", "rank", "bin", "fine", *carried), "drawn")
 
     need = drawn.groupBy("key").agg((F.max("target") - F.sum(F.col("whole") * F.col("size")).cast("double")).alias("need"))
     bins = drawn.where("bin is not null").groupBy("key", "bin").agg(F.sum("size").alias("words"))
@@ -110,14 +114,13 @@ def pareto_mix(
     sure = F.col("edge_bin").isNull() & (F.col("need_all") > 0) | before | at & F.coalesce(F.col("fine") < F.col("edge_fine"), F.lit(True))
     sure = F.col("bin").isNotNull() & F.coalesce(sure, F.lit(False))
     tied = F.coalesce(at & (F.col("fine") == F.col("edge_fine")), F.lit(False))
-    ordered = W.partitionBy("key").orderBy("rank", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    ordered = W.partitionBy("key").orderBy("rank", "id", "size", *map(F.xxhash64, carried)).rowsBetween(W.unboundedPreceding, -1)
     middle = F.coalesce(F.sum("size").over(ordered), F.lit(0)) + F.col("size") / 2.0
     close = placed.where(tied).withColumn("more", F.when(middle <= F.col("need_fine"), 1).otherwise(0))
     rest = placed.where(~tied).withColumn("more", F.when(sure, 1).otherwise(0))
     both = rest.unionByName(close).withColumn("copies", F.col("whole") + F.col("more"))
     return both.select(
-        F.col("id").alias(id_col),
-        F.col("source").alias(source_col),
+        *([F.col("row.*")] if keep else [F.col("id").alias(id_col), F.col("source").alias(source_col)]),
         "size",
         "source_size",
         "target",

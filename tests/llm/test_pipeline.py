@@ -59,3 +59,23 @@ def test_stages(spark, sf_dir, tmp_path):
         taken[r.source] += r.taken
     longest = max(len(r.text.encode().split()) for r in before)
     assert all(abs(taken[s] - targets[s]) <= longest / 2 + 1e-6 for s in sizes)
+
+
+def test_the_mix_is_of_rows_whatever_their_ids(spark, sf_dir):
+    """Null ids, ids that texts and sources share, and repeated rows: each row has its own size and its source's target."""
+    rows = [(None, f"n{i} " * (1 + i % 7), "en", "ab"[i % 2], i) for i in range(40)] + [(i % 5, f"s{i} " * (1 + i % 11), "en", "abc"[i % 3], i) for i in range(60)]
+    rows += [(9, "same text", "en", "c", 9)] * 6 + [(None, None, None, None, None), (100, "x " * 400, "en", "c", 800)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    out = P.mix_sources(spark, docs, sf_dir).collect()
+    assert sorted(map(str, out)) == sorted(map(str, P.mix_sources(spark, docs.repartition(3), sf_dir).collect()))
+    sizes = {}
+    for _, text, _, source, _ in rows:
+        sizes[source] = sizes.get(source, 0) + len((text or "").split())
+    targets = fill(sizes, (1, 2, 3), 3)
+    for source in sizes:
+        own = [r for r in out if r.source == source]
+        assert all(r.size == len((r.text or "").split()) and r.taken == r.copies * r.size and 1 <= r.copies <= 3 and r.source_size == sizes[source] for r in own)
+        longest = max(len((x[1] or "").split()) for x in rows if x[3] == source)
+        assert all(abs(r.target - targets[source]) < 1e-6 for r in own) and abs(sum(r.taken for r in own) - targets[source]) <= longest / 2 + 1e-6
+    whole = [tuple(r)[:5] for r in out]
+    assert all(whole.count(x) <= rows.count(x) for x in whole)
