@@ -7,13 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: list[np.ndarray] = []
+#: Places in a word for which a byte's number is looked up; it is worked out for later ones.
+_PLACES = 64
+_tables: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,17 +25,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, (1 << 18) + 1)
-        _powers[:] = [np.concatenate([[np.uint64(1)], np.full(size - 1, b)]).cumprod(dtype=np.uint64) for b in (_BASE, _INVERSE)]
-    return _powers[0], _powers[1]
+def _numbers(byte: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+    """A number of 64 bits for each byte and place in its word: as good as drawn, so that sums of different ones are not alike by their form."""
+    at = place.astype(np.uint64) * np.uint64(256) + byte
+    return mix(mix(at + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) ^ np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _table(seed: int) -> np.ndarray:
+    if seed not in _tables:
+        at = np.arange(256 * _PLACES)
+        _tables[seed] = _numbers((at % 256).astype(np.uint64), at // 256, seed)
+    return _tables[seed]
 
 
 class Words:
     """The words of some texts: runs of bytes other than ASCII white space.
 
-    data, start, end: bytes and each word's place in them; hash: of each word; first: each text's first word, and the end.
+    data, start, end: bytes and each word's place in them; hash: of each word; first: each text's first word, and the end. A word's hash
+    is the sum of numbers that stand for its bytes and their places, mixed; ``again`` makes a second one that has nothing to do with it.
     """
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool):
@@ -56,20 +63,37 @@ class Words:
         begins[cut] = True
         stops[cut] = True
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(stops)
-        power, inverse = _grown(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((used.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-        size = (self.end - self.start).astype(np.uint64)
-        self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + size * np.uint64(0xD6E8FEB86659FD93))
+        self.used = used
+        self.hash = self._hashes(1)
         self.first = np.searchsorted(self.start, bounds)
 
-    def runs(self, k: int, at: np.ndarray | None = None) -> np.ndarray:
-        """The hash of the ``k`` words from each word on, or from those at ``at``; the last k - 1 of all are missing in the first case."""
-        n = max(0, len(self.hash) - k + 1)
+    def _hashes(self, seed: int) -> np.ndarray:
+        size = self.end - self.start
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        own = self.used[~_SPACE[self.data]]
+        ends = np.cumsum(size)
+        place = np.arange(len(own)) - np.repeat(ends - size, size)
+        number = _table(seed)[np.minimum(place, _PLACES - 1) * 256 + own]
+        if (far := np.flatnonzero(place >= _PLACES)).size:
+            number[far] = _numbers(own[far].astype(np.uint64), place[far], seed)
+        return mix(np.add.reduceat(number, ends - size) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def again(self) -> np.ndarray:
+        """Second hashes of the words: with ``hash``, 128 bits."""
+        return self._hashes(2)
+
+    def runs(self, k: int, at: np.ndarray | None = None, of: np.ndarray | None = None) -> np.ndarray:
+        """The hash of the ``k`` words from each word on, or from those at ``at``; the last k - 1 of all are missing in the first case.
+
+        With ``of``, these words' hashes and other weights are used: a second hash of the same runs.
+        """
+        hashes, more = (self.hash, 0) if of is None else (of, 64)
+        n = max(0, len(hashes) - k + 1)
         total = np.zeros(n if at is None else len(at), np.uint64)
         for j in range(k):
-            w = self.hash[j : j + n] if at is None else self.hash[at + j]
-            total += w * _weight(j)
+            w = hashes[j : j + n] if at is None else hashes[at + j]
+            total += w * _weight(j + more)
         return mix(total + np.uint64(k))
 
 

@@ -77,14 +77,14 @@ def _offer(kept: np.ndarray, owner: np.ndarray, element: np.ndarray, m: int) ->
         owner, element = owner[stay], element[stay]
 
 
-SKETCH = "id long, n long, f1 long, f2 long, bands array<long>, signature binary"
+SKETCH = "id long, mark long, n long, f1 long, f2 long, bands array<long>, signature binary"
 
 
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for a, b, data, bounds in pieces(batch.column(1)):
+            ids, marks = batch.column(0), batch.column(1)
+            for a, b, data, bounds in pieces(batch.column(2)):
                 sets = shingle_sets(Words(data, bounds, lower=True), k)
                 kept = superminhash(sets)
                 bits = mix(kept.view(np.uint64))
@@ -99,13 +99,14 @@ def _sketches(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, b - a),
+                        marks.slice(a, b - a),
                         pa.array(size, pa.int64()),
                         pa.array(f1),
                         pa.array(f2),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1))),
                         pa.array([x.tobytes() for x in low], pa.binary()),
                     ],
-                    ["id", "n", "f1", "f2", "bands", "signature"],
+                    ["id", "mark", "n", "f1", "f2", "bands", "signature"],
                 )
 
     return run
@@ -121,7 +122,7 @@ def _linked(percent: int, k: int):
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 t = pa.Table.from_batches(held)
-                u, v = forest(t.column("id").to_numpy(), t.column("text"), t.column("signature").to_pylist(), percent, k)
+                u, v = forest(t.column("node").to_numpy(), t.column("text"), t.column("signature").to_pylist(), percent, k)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -141,7 +142,11 @@ def _linked(percent: int, k: int):
 
 
 def forest(ids: np.ndarray, texts: pa.ChunkedArray, signatures: list[bytes], percent: int, k: int) -> tuple[list[int], list[int]]:
-    """Pairs of ids with 100 * intersection >= percent * union; of those that would close a ring, none."""
+    """Pairs of ids with 100 * intersection >= percent * union; of those that would close a ring, none.
+
+    Sets are of 64-bit hashes that have nothing of the words' form in them (see ``hashing``): for a pair of sets of 20,000 shingles the
+    chance that any two different shingles are taken for one is 2e-11.
+    """
     sets: list[np.ndarray] = []
     for _, _, data, bounds in pieces(texts):
         sets += shingle_sets(Words(data, bounds, lower=True), k)
@@ -172,11 +177,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Near-duplicate classes of documents whose shingle sets have 100 * intersection >= percent * union.
 
     1. One pass makes each document's SuperMinHash signature, the hashes of its bands and a 128-bit fingerprint of its set.
-    2. Documents of one set are a class; its smallest id stands for it from here on.
-    3. Representatives with a band in common are tied to the band's smallest, and the ties' components are clusters of candidates.
+    2. Documents of one set are a class, with a number of its own; one of its texts stands for it from here on.
+    3. Classes with a band in common are tied to the band's smallest, and the ties' components are clusters of candidates.
     4. A cluster's texts meet in one task, or if it is large, in a task per pair of its blocks, where each pair of different parts with
        similar sizes and signatures is verified on full sets. Only links that join parts leave the task.
-    5. The components of those links are the result.
+    5. The components of those links are the result, named by the smallest id of their classes.
 
     At 0.85, 25 bands of 5 miss a pair with a chance of 4.3e-7, if nothing else links it, and the signatures of step 4 with 4e-11: 4.3e-7
     in sum; at 0.80, 4.9e-5 and 3e-10: 4.9e-5 in sum.
@@ -184,33 +189,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Returns a row per input row: id_col, n_shingles, component_id (the smallest id reachable), kept (id = component_id). Words are runs
     without ASCII white space, A-Z lower-cased; a text of fewer words than a shingle is one shingle. Null and empty texts have no
     shingles and are linked with nothing. A row with a null id is linked with nothing: component_id is null, kept true. Rows that share
-    an id are judged each by its text. An empty table gives an empty result.
+    an id are judged each by its text, and no text's links are lost to the other. An empty table gives an empty result. Columns other
+    than the two are not read.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     sketch = stage(source.mapInArrow(_sketches(words), SKETCH), "sketch")
     real = sketch.where("n > 0 and id is not null")
-    classes = stage(real.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = real.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["f1", "f2", "id"]).dropDuplicates(["id"])
-    keyed = reps.select("id", F.explode("bands").alias("band"))
-    heads = keyed.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("band", "head")
-    ties = keyed.join(heads, "band").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
-    clusters = connected_components(ties).withColumnRenamed("node", "id")
-    members = stage(reps.join(clusters, "id").select("id", "component", "signature", "n"), "members")
+    # numbers are written once, so that a task that runs again can't deal others
+    classes = real.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "mark")).alias("least"))
+    classes = stage(classes.select("f1", "f2", "n", "least.*").withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = real.join(classes, ["f1", "f2", "n", "id", "mark"]).dropDuplicates(["node"])
+    keyed = reps.select("node", F.explode("bands").alias("band"))
+    heads = keyed.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("band", "head")
+    ties = keyed.join(heads, "band").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+    clusters = connected_components(ties)
+    members = stage(reps.join(clusters, "node").select("id", "mark", "node", "component", "signature", "n"), "members")
 
     sized = members.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("elements") * 8 / BLOCK_BYTES)).cast("long")
-    own = F.pmod(F.xxhash64("id", F.lit(5)), "blocks")
+    own = F.pmod(F.xxhash64("node", F.lit(5)), "blocks")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     grid = members.join(sized.select("component", blocks.alias("blocks")), "component")
     grid = grid.withColumn("own", own).withColumn("other", other)
-    grid = grid.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "signature")
+    grid = grid.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "mark", "node", "signature")
     grid = if_small(stage(grid, "grid"), 500_000)
-    texts = source.join(grid, "id").select("component", "i", "j", "id", "signature", "text")
+    texts = source.join(grid, ["id", "mark"]).select("component", "i", "j", "node", "signature", "text")
     dealt = texts.repartition(buckets(source), "component", "i", "j").sortWithinPartitions("component", "i", "j")
     links = stage(dealt.mapInArrow(_linked(percent, words), "u long, v long"), "links")
-    groups = connected_components(links)
-    named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
+    groups = connected_components(links).join(classes.select("node", "id"), "node")
+    named = groups.join(groups.groupBy("component").agg(F.min("id").alias("first")), "component").select("node", "first")
+    named = classes.join(named, "node", "left").select("f1", "f2", "n", F.coalesce("first", "id").alias("component_id"))
     out = sketch.select("id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(

@@ -109,6 +109,31 @@ def test_null_ids_and_repeated_rows(spark):
     assert sorted((r.doc_id or 0) for r in near.drop_near_duplicates(df).collect()) == [0, 0, 1]
 
 
+def thue_morse(n):
+    """Two words of n letters whose polynomial hashes modulo 2 ** 64 agree for any base."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+def test_words_of_one_polynomial_hash_differ(spark):
+    a, b = thue_morse(1024)
+    (w,) = [Words(d, bounds, lower=False) for _, _, d, bounds in pieces(pa.array([a, b, a[:70], b[:70], "a" * 100, "a" * 101]))]
+    assert len(set(w.hash.tolist())) == 6 == len(set(w.again().tolist())) and not set(w.hash.tolist()) & set(w.again().tolist())
+    tail = " " + " ".join(map(str, range(12)))
+    df = spark.createDataFrame([(1, a + tail), (2, b + tail), (3, b), (4, a)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near.near_duplicates(df, percent=100).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_texts_that_share_an_id_keep_their_links(spark):
+    """Different texts of one id are judged each by its text; both have links, which are not lost."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b + " end"), (3, a + " end"), (4, c), (0, b + " x y")]
+    got = near.near_duplicates(spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id long, text string, node int, mark string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(0, 0, True), (1, 0, False), (1, 1, True), (2, 0, False), (3, 1, False), (4, 4, True)]
+
+
 def test_long_chains_are_one_component(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -48,10 +48,20 @@ def test_any_two_windows_have_a_common_anchor():
             assert steps
 
 
+def test_words_of_one_polynomial_hash_are_not_removed(spark):
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate({97: 98, 98: 97})
+    b, tail = a.translate({97: 98, 98: 97}), " " + " ".join(map(str, range(12)))
+    df = spark.createDataFrame([(1, a + tail), (2, b + tail), (3, "x " + a + tail)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in substrings.remove_repeats(df).collect()) == [(1, 0), (2, 0), (3, 13)]
+
+
 def test_null_ids_lose_nothing(spark):
     text = " ".join(map(str, range(20)))
-    df = spark.createDataFrame([(None, text), (3, text), (3, text), (5, text + " end")], "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.n_removed) for r in substrings.remove_repeats(df).collect()) == [(0, 0), (3, 0), (3, 0), (5, 20)]
+    df = spark.createDataFrame([(None, text), (None, text), (None, None), (3, text), (3, text), (5, text + " end")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.text) for r in substrings.remove_repeats(df).collect())
+    assert got == [(0, 0, 0, ""), (0, 20, 0, text), (0, 20, 0, text), (3, 20, 0, text), (3, 20, 0, text), (5, 21, 20, "end")]
 
 
 def distance(a, b):
