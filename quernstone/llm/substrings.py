@@ -16,7 +16,7 @@ from .hashing import Words, pieces
 #: Differences of places in COVER give all residues of PERIOD, so any two runs of PERIOD places have a pair of them in step.
 PERIOD, COVER = 7, (0, 1, 3)
 #: Entries that a task holds before it hands them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 PACK = "bucket int, found boolean, body binary"
 
 
