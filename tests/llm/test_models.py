@@ -17,7 +17,7 @@ def all_segmentations(word, index, odds, floor):
         for e in range(1, len(word) + 1):
             if e == len(word) or cuts >> (e - 1) & 1:
                 piece = word[at:e]
-                p = odds[index[piece]] if piece in index and len(piece) <= language.LONGEST else 0.0
+                p = odds[index[piece]] if piece in index else 0.0
                 product *= p + (floor if len(piece) == 1 else 0.0)
                 at = e
         total += product
@@ -37,28 +37,104 @@ def test_forward_sums_all_segmentations():
             assert row[k] == pytest.approx(math.log(want), rel=1e-9)
 
 
-def test_estimation_raises_likelihood():
+def test_long_words_are_summed_whole():
+    """Words past the length up to which words stand side by side, and pieces longer than most, against the other path and by hand."""
+    index = {p: i for i, p in enumerate([language.EDGE, "a", "b", "ab", "abababababababab", "ba" * 9])}
+    model = language.LanguageModel(["x", "y"], index, np.random.default_rng(4).random((len(index), 2)) / 9, 1e-5)
+    for w in ("ab" * 40, "b" * 65, "ab" * 33 + "語" * 90 + "ba" * 30):
+        ((_, grid),) = language._by_length([w], model.lookup, None)
+        total, log = language._forward(grid, model.padded, 1e-5, model.longest)[-1]
+        assert model.word_scores([w])[0] == pytest.approx((np.log(total) + log)[0], rel=1e-12)
+    w = "ab" * 9  # a piece of 16 letters is one of its segments
+    assert model.word_scores([w])[0, 0] == pytest.approx(math.log(all_segmentations(language.EDGE + w, index, model.odds[:, 0], 1e-5)), rel=1e-9)
+
+
+def test_the_whole_vocabulary_of_letters_is_used():
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=language.VOCABULARY)
+    named = {own.id_to_piece(i).lower() for i in range(own.get_piece_size())}
+    want = {p for p in named if all(c.isalpha() for c in p.removeprefix(language.EDGE))}
+    got = language.read_pieces(language.VOCABULARY)
+    assert set(got) == want - {""} and max(map(len, got)) == 16
+
+
+def test_lookup_finds_the_pieces_and_no_others():
+    pieces = language.read_pieces(language.VOCABULARY)
+    lookup, index = language.Lookup({p: i for i, p in enumerate(pieces)}), {p: i for i, p in enumerate(pieces)}
+    words = ["straßenbahn", "naïvement", "unbelievably", "xqzzk", "漢字", "a"]
+    for w in words:
+        ((_, grid),) = language._by_length([w], lookup)
+        edged = language.EDGE + w
+        want = {(s, e): index[edged[s:e]] for s in range(len(edged)) for e in range(s + 1, len(edged) + 1) if edged[s:e] in index}
+        assert {k: int(v[0]) for k, v in grid.items() if v[0] >= 0} == want
+
+
+def test_letters_are_those_of_the_category():
+    import unicodedata
+
+    for text in ("½ ²", "①Ⅷa½b", "x² y", "Ωmega-3 ȺB", "漢字kanji", "ªº", ""):
+        low = text.lower()
+        want = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in low).split()
+        assert language.letters(text) == want
+
+
+def plain_counts(words, index, own, floor):
+    """Expected pieces by all segmentations, one by one."""
+    out = np.zeros(len(own))
+    for word, n in words.items():
+        edged = language.EDGE + word
+        ways = []
+        for cuts in range(1 << (len(edged) - 1)):
+            parts, at = [], 0
+            for e in range(1, len(edged) + 1):
+                if e == len(edged) or cuts >> (e - 1) & 1:
+                    parts.append(edged[at:e])
+                    at = e
+            odds = [(own[index[x]] if x in index else 0.0) + (floor if len(x) == 1 else 0.0) for x in parts]
+            ways.append((math.prod(odds), parts, odds))
+        whole = sum(w for w, _, _ in ways)
+        for w, parts, odds in ways:
+            for x, p in zip(parts, odds, strict=True):
+                if x in index and p:
+                    out[index[x]] += n * w / whole * own[index[x]] / p
+    return out
+
+
+def test_expected_counts_are_those_of_all_segmentations():
+    words, pieces = {"abab": 5, "ab": 9, "b": 2, "cab": 3}, ["a", "b", "ab", "abab", language.EDGE, language.EDGE + "ab"]
+    index, own = {p: i for i, p in enumerate(pieces)}, np.array([0.2, 0.1, 0.3, 0.05, 0.2, 0.15])
+    got = language.expected_counts(list(words), np.array(list(words.values()), float), language.Lookup(index), own, 1e-3)
+    assert got == pytest.approx(plain_counts(words, index, own, 1e-3), rel=1e-9)
+
+
+def learned(spark, counts, pieces, **options):
+    rows = [(lang, w, n) for lang, own in counts.items() for w, n in own.items()]
+    return language.estimate(spark.createDataFrame(rows, "lang string, word string, count long"), pieces, **options)
+
+
+def test_estimation_raises_likelihood(spark):
     counts = {"x": {"abab": 5, "ab": 9, "b": 2}}
     pieces = ["a", "b", "ab", "abab", language.EDGE]
-    fit = [float(sum(n * s for n, s in zip(counts["x"].values(), language.estimate(counts, pieces, rounds=r).word_scores(list(counts["x"]))[:, 0], strict=True))) for r in (1, 2, 4, 8)]
+    fit = [float(sum(n * s for n, s in zip(counts["x"].values(), learned(spark, counts, pieces, rounds=r).word_scores(list(counts["x"]))[:, 0], strict=True))) for r in (1, 2, 4)]
     assert fit == sorted(fit)
 
 
 @pytest.mark.parametrize("n", [15, 16, 17, 48, 64, 3000])
-def test_long_runs_of_unlearned_letters_do_not_underflow(n):
+def test_long_runs_of_unlearned_letters_do_not_underflow(spark, n):
     index = {p: i for i, p in enumerate(["a", "ab", language.EDGE])}
     model = language.LanguageModel(["x", "y"], index, np.array([[0.2, 0.3], [0.1, 0.05], [0.4, 0.4]]), 1e-7)
     (got,) = model.word_scores(["語" * n])
     assert got == pytest.approx([math.log(0.4 + 1e-7) + n * math.log(1e-7)] * 2, rel=1e-12)
     # the same sums from both ends, over rescaled places; a and ab stand between the unlearned letters
-    ((_, grid),) = language._by_length([("語" * 30 + "ab") * (n // 30 + 1)], index)
-    ahead, back = (language._logs(f(grid, model.odds, 1e-7)) for f in (language._forward, language._backward))
+    ((_, grid),) = language._by_length([("語" * 30 + "ab") * (n // 30 + 1)], model.lookup, None)
+    ahead, back = (language._logs(f(grid, model.padded, 1e-7, 2)) for f in (language._forward, language._backward))
     assert back[0] == pytest.approx(ahead[-1], rel=1e-12) and np.isfinite(ahead[-1]).all()
     pieces = ["a", "ab", "b", language.EDGE]
     short, long = {"x": {"ab": 5, "a": 9, "b": 2}, "y": {"b": 7}}, {"x": {"ab": 5, "a": 9, "b": 2, "語" * n: 1}, "y": {"b": 7, "語" * n + "b": 3}}
-    want, learned = language.estimate(short, pieces), language.estimate(long, pieces)
-    assert np.isfinite(learned.odds).all() and learned.odds.sum(axis=0) == pytest.approx([1, 1])
-    assert learned.odds[:3, 0].argmax() == want.odds[:3, 0].argmax() and learned.odds[:3, 1].argmax() == 2
+    want, got = learned(spark, short, pieces), learned(spark, long, pieces)
+    assert np.isfinite(got.odds).all() and got.odds.sum(axis=0) == pytest.approx([1, 1])
+    assert got.odds[:3, 0].argmax() == want.odds[:3, 0].argmax() and got.odds[:3, 1].argmax() == 2
 
 
 def test_long_unlearned_runs_in_texts(spark, sf_dir):
@@ -71,6 +147,9 @@ def test_long_unlearned_runs_in_texts(spark, sf_dir):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in language.identify(df, model).collect()}
     assert got[1].lang_pred == "en" and got[2].lang_pred == "de" and all(0 <= r.score <= 1 and math.isfinite(r.fit) for r in got.values())
+    odd = spark.createDataFrame([(1, "漢" * 64), (2, "½ ²"), (3, "漢" * 64 + " " + text["en"]), (4, "①Ⅷ"), (5, "a" * 200_000)], "doc_id long, text string")
+    odd = {r.doc_id: r for r in language.identify(odd, model).collect()}
+    assert all(0 <= r.score <= 1 for r in odd.values()) and odd[3].lang_pred == "en" and [odd[i].lang_pred for i in (2, 4)] == ["und"] * 2
     assert {1, 2} <= {r.doc_id for r in language.keep_identified(df, model).collect()} and got[3].fit < -8
 
 
@@ -86,7 +165,7 @@ def test_undetermined_and_rejected(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language.fit_languages(docs)
     rows = [(1, None), (2, ""), (3, "123 +4 %"), (4, docs.where("lang = 'de'").first().text), (5, "Ωμέγα αλφα βήτα γάμμα δέλτα"), (6, "x" * 3000)]
-    df = spark.createDataFrame([(*r, 0.1) for r in rows], "doc_id long, text string, score double")
+    df = spark.createDataFrame([(*r, 0.1, "c") for r in rows], "doc_id long, text string, score double, _id_score string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(df, model).collect()}
     assert [got[i] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and got[4][0] == "de"
     kept = language.keep_identified(df, model)
