@@ -54,10 +54,10 @@ def read_pieces(path: str) -> list[str]:
 class Lookup:
     """Numbers of pieces by 64-bit hashes of their code points, for whole arrays: two tables, a piece's place in one of which is its own."""
 
-    BITS, STEP = 18, np.uint64(0x9E3779B97F4A7C15)
+    BITS, STEP = 16, np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, index: dict[str, int]):
-        self.bits = max(self.BITS, len(index).bit_length() + 3)
+        self.bits = max(self.BITS, len(index).bit_length() + 1)
         self.keys, self.values = np.zeros((2, 1 << self.bits), np.uint64), np.full((2, 1 << self.bits), -1, np.int32)
         self.longest = max(map(len, index), default=1)
         sizes: dict[int, list[str]] = {}

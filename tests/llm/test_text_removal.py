@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.llm import lines, substrings
 
@@ -100,24 +101,42 @@ def brute_lines(docs, per_edit, most):
     return out
 
 
-@pytest.mark.parametrize(("seed", "per_edit", "most"), [(1, 20, 2), (2, 8, 3), (3, 20, 1)])
-def test_lines_are_those_of_all_pairs(spark, seed, per_edit, most):
+def edited(rng, s, k, letters):
+    s = list(s)
+    for _ in range(k):
+        o, p = rng.random(), rng.randrange(len(s) + 1)
+        if o < 0.33:
+            s.insert(p, rng.choice(letters))
+        elif s and o < 0.66:
+            s.pop(min(p, len(s) - 1))
+        elif s:
+            s[min(p, len(s) - 1)] = rng.choice(letters)
+    return "".join(s)
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_banded_distance_is_the_edit_distance(spark, most):
+    rng, rows = random.Random(most), []
+    for _ in range(1500):
+        a = "".join(rng.choice("abé ") for _ in range(rng.randrange(0, 30)))
+        rows.append((a, edited(rng, a, rng.randrange(0, 6), "abcé ")))
+    df = spark.createDataFrame(rows + [("", ""), ("a" * 300, "a" * 299 + "b")], "x string, y string")
+    got = lines.with_middles(df, "x", "y", most).select("x", "y", lines.distance(F.col("middle"), most).alias("d")).collect()
+    for r in got:
+        want = distance(r.x, r.y)
+        assert r.d == want if want <= most else r.d > most, r
+    assert len(got) == len(rows) + 2 and sum(r.d <= most for r in got) > 300
+
+
+@pytest.mark.parametrize(("seed", "per_edit", "most", "crowd"), [(1, 20, 2, 200), (2, 8, 3, 200), (3, 20, 1, 200), (4, 20, 2, 2), (5, 8, 3, 2), (6, 20, 1, 2)])
+def test_lines_are_those_of_all_pairs(spark, monkeypatch, seed, per_edit, most, crowd):
+    monkeypatch.setattr(lines, "CROWD", crowd)
+    monkeypatch.setattr(lines, "SAMPLE", 1 if crowd == 2 else 1024)
+    monkeypatch.setattr(lines, "SEEN", 3)
     rng, letters = random.Random(seed), "abcdeé ü"
 
-    def edit(s, k):
-        s = list(s)
-        for _ in range(k):
-            o, p = rng.random(), rng.randrange(len(s) + 1)
-            if o < 0.33:
-                s.insert(p, rng.choice(letters))
-            elif s and o < 0.66:
-                s.pop(min(p, len(s) - 1))
-            elif s:
-                s[min(p, len(s) - 1)] = rng.choice(letters)
-        return "".join(s)
-
     base = ["".join(rng.choice(letters) for _ in range(rng.choice([5, 18, 19, 20, 21, 25, 38, 39, 40, 41, 42, 60, 90]))) for _ in range(40)]
-    docs = [(i, "\n".join(edit(rng.choice(base), rng.choice([0, 0, 1, 1, 2, 2, 3, 4])) for _ in range(rng.randrange(0, 8)))) for i in range(90)]
+    docs = [(i, "\n".join(edited(rng, rng.choice(base), rng.choice([0, 0, 1, 1, 2, 2, 3, 4]), letters) for _ in range(rng.randrange(0, 8)))) for i in range(90)]
     docs += [(200, None), (201, ""), (202, "  \n\n" + base[3])]
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, n_lines string").repartition(4)
     got = {r.doc_id: (r.n_lines, r.n_removed, r.n_links, r.text) for r in lines.dedup_lines(df, per_edit=per_edit, most=most).collect()}
@@ -126,6 +145,25 @@ def test_lines_are_those_of_all_pairs(spark, seed, per_edit, most):
     assert sum(v[1] for v in want.values()) > 60
 
 
+def test_one_segment_in_common_makes_no_pairs_of_all(spark, monkeypatch):
+    """100,000 lines with a common start, as long as their segment and more: few pairs are compared, and planted copies are found."""
+    made, count = [], lines._paired
+
+    def counted(marked, per_edit, most):
+        made.append(marked.groupBy("stamp").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("long")).alias("held")).agg(F.sum(F.col("n") * F.col("held"))).first()[0] or 0)
+        return count(marked, per_edit, most)
+
+    monkeypatch.setattr(lines, "_paired", counted)
+    start = "the same start of every line there is: "
+    own = F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 40)
+    df = spark.range(100_000).select(F.concat(F.lit(start), own).alias("line"))
+    df = df.unionByName(spark.range(20).select(F.concat(F.lit(start[:-1]), F.substring(own, 1, 39), F.lit("x")).alias("line")))
+    df = df.select(F.unhex(F.md5("line")).alias("key"), "line")
+    got = lines.line_links(df).join(df.withColumnsRenamed({"key": "a", "line": "x"}), "a").join(df.withColumnsRenamed({"key": "b", "line": "y"}), "b").select("x", "y").collect()
+    assert len(got) == 20 and {distance(r.x, r.y) for r in got} <= {1, 2}
+    assert len(made) > 1 and sum(made) < 100 * 100_000
+
+
 def test_frequent_lines(spark, monkeypatch):
     monkeypatch.setattr(lines, "HOT", 3)
     common = "the same line stands in every document there is, at its top"
