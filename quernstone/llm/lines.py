@@ -176,12 +176,14 @@ def line_links(lines: DataFrame, *, per_edit: int = 20, most: int = 2) -> DataFr
     short = lines.select(F.xxhash64("line").alias("h"), "line")
     seen = with_stamps(short.where(F.pmod("h", F.lit(SAMPLE)) == 0).distinct(), per_edit, most).groupBy("stamp").count().where(F.col("count") >= SEEN)
     seen = stage(seen.select("stamp", F.lit(True).alias("common")), "common")
-    stamped = with_stamps(short, per_edit, most)
-    stamped = stamped.withColumn("common", F.lit(False)) if seen.isEmpty() else stamped.join(if_small(seen, 500_000), "stamp", "left")
-    group = W.partitionBy("stamp", "spread")
-    met = stamped.withColumn("spread", F.when(F.col("common"), F.col("h")).otherwise(0))
+    met, by = with_stamps(short, per_edit, most).select("stamp", "h", "own"), ["stamp"]
+    if not seen.isEmpty():
+        met = met.join(if_small(seen, 500_000), "stamp", "left").withColumn("spread", F.when(F.col("common"), F.col("h")).otherwise(0))
+        by = ["stamp", "spread"]
+    group = W.partitionBy(*by)
     met = met.withColumns({"low": F.min("h").over(group), "high": F.max("h").over(group), "held": F.max("own").over(group)})
-    ends = stage(met.where("common or (held and low <> high)").select("h").distinct(), "ends")
+    marks = (F.col("held") & (F.col("low") != F.col("high"))) | (F.coalesce("common", F.lit(False)) if "common" in met.columns else F.lit(False))
+    ends = stage(met.where(marks).select("h").distinct(), "ends")
     texts = lines.withColumn("h", F.xxhash64("line")).join(if_small(ends, 500_000), "h").select("key", "line").dropDuplicates(["key"])
     texts = stage(texts.withColumn("grams", grams(F.col("line"))), "texts")
     marked, pairs = stage(with_stamps(texts, per_edit, most), "marked"), []

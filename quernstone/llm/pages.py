@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import buckets as count_buckets
-from ..staging import stage
+from ..staging import is_small, stage
+from .hashing import mix
 from .urls import url_host
 
 # Names of HTML elements and words of class names.
@@ -22,13 +24,22 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
-CHROME = frozenset("nav footer aside form head script style noscript template iframe object svg math canvas button select textarea title dialog menu audio video".split())
+CHROME = frozenset("nav footer form head script style noscript template iframe object svg math canvas button select textarea title dialog menu audio video".split())
+#: Chrome unless an article or main element holds them.
+OUTER_CHROME = frozenset("header aside".split())
 CHROME_WORDS = frozenset(
-    "ad ads advert advertisement adverts sponsor sponsored promo banner cookie cookies consent notice notices gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus "
-    "share sharing social related newsletter subscribe popup modal widget pagination pager masthead toolbar".split()
+    "ad ads advert advertisement adverts advertising sponsor sponsored promo banner cookie cookies consent notice notices gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs header footer "
+    "comment comments commentlist disqus share sharing social related newsletter subscribe subscription popup modal widget pagination pager masthead toolbar".split()
+)
+#: Of these, words that may name a part of an article.
+MAY_BE_TEXT = frozenset("social menu widget modal masthead header".split())
+#: Words of what readers wrote.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
+#: Words that say nothing beside these.
+FILLERS = frozenset(
+    "area bar block bottom box buttons container content group inner item left link links list main outer page panel posts reader readers right row section site slot thread top unit user users "
+    "wrap wrapper".split()
 )
-#: Class names and ids of what readers wrote: an article in it is a reader's. Not those that say whether a page has comments.
-COMMENTS = re.compile(r"(?:^|\s)(?:comments?|disqus)(?![a-z])(?![-_](?:open|opened|closed|enabled|disabled|on|off|allowed)\b)")
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -38,70 +49,98 @@ TAG = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-WORD = re.compile(r"[a-z]+")
-SALTS = 16
+PARTS = re.compile(r"[-_:]+")
+#: Templates that are sent to all tasks at most: 9 bytes each.
+SMALL = 1_000_000
+#: Hosts whose pages are split over several groups at most, where templates are more than that.
+SPLIT = 1_000_000
 
 
 class Element:
-    __slots__ = ("tag", "drop", "named", "main", "parts", "hash", "parent", "blank")
+    """An element with text blocks in it. drop: is marked as chrome; soft: only by a name, which the main part clears; inside: a main element holds it."""
+
+    __slots__ = ("tag", "parent", "depth", "drop", "soft", "hard", "main", "inside", "parts", "hash", "recurs", "gone")
 
-    def __init__(self, tag: str, parent: Element | None, drop: bool, main: bool, named: bool = False):
-        self.tag, self.parent, self.drop, self.main, self.named = tag, parent, drop, main, named
+    def __init__(self, tag: str, parent: Element | None, drop: bool = False, soft: bool = False, main: bool = False):
+        self.tag, self.parent, self.drop, self.soft, self.main = tag, parent, drop, soft, main
+        self.depth = parent.depth + 1 if parent else 0
+        self.hard = parent is not None and parent.hard or drop and not soft
+        self.inside = main or parent is not None and parent.inside
         self.parts: list[str] = []
-        self.hash, self.blank = 0, True
+        self.hash, self.recurs, self.gone = 0, False, False
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if "=" in raw or "hidden" in raw else {}
 
 
+def _names(said: str, inside: bool) -> tuple[bool, bool]:
+    """Whether a class name or id, taken whole, is of chrome, and whether it is of readers' comments.
+
+    A name counts if all its words are of chrome or say nothing beside such, and one is of chrome: ``cookie-notice``, ``site-footer`` and
+    ``ad-slot`` do, ``social-history``, ``menu-planning``, ``has-sidebar`` and ``comments-open`` don't. Inside an article, words that may be of its text need another.
+    """
+    chrome = False
+    for name in said.lower().split():
+        words = [w for w in PARTS.split(name) if w and not w[0].isdigit()]
+        own = [w for w in words if w in CHROME_WORDS]
+        if not own or any(w not in CHROME_WORDS and w not in FILLERS for w in words):
+            continue
+        if COMMENT_WORDS.intersection(own):
+            return True, True
+        chrome |= not inside or len(own) > 1 or own[0] not in MAY_BE_TEXT
+    return chrome, False
+
+
 def _is_chrome(tag: str, raw: str, inside: bool) -> tuple[bool, bool, bool]:
-    """(is chrome, is marked as the main part, is chrome by words of its class or id alone, and no comments: so not if it holds the main part)."""
-    if tag in CHROME or tag == "header" and not inside:
+    """(is chrome, is chrome by its name alone and no comments, is marked as the main part)."""
+    if tag in CHROME or tag in OUTER_CHROME and not inside:
         return True, False, False
     if not raw.strip(" /"):
-        return False, tag in ("article", "main"), False
+        return False, False, tag in ("article", "main")
     at = _attributes(raw)
     role = at.get("role", "").lower()
     main = tag in ("article", "main") or role == "main" or at.get("itemprop", "").lower() == "articlebody"
     if role in CHROME_ROLES or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", ""):
         return True, False, False
-    said = (at.get("class", "") + " " + at.get("id", "")).lower()
-    named = tag not in ("html", "body") and not main and bool(set(WORD.findall(said)) & CHROME_WORDS)
-    return named, main, named and not COMMENTS.search(said)
+    named, comments = _names(at.get("class", "") + " " + at.get("id", ""), inside)
+    if comments and tag not in ("html", "body", "main"):
+        return True, False, False
+    soft = named and not main and tag not in ("html", "body")
+    return soft, soft, main
 
 
-def parse(page: str) -> list[tuple[str, Element]]:
-    """The blocks of text of a page, in order, each with the element it stands in. Elements have the hash of their subtree."""
-    root = Element("", None, False, False)
-    top, at, text, found, any_main = root, 0, [], [], False
+def parse(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
+    """The blocks of text of a page, in order, each with the element it stands in; and its elements, parents first, with their subtrees' hashes.
+
+    Time grows with the page, however deep its elements are: names that are open are kept with their depths.
+    """
+    root = Element("", None)
+    elements, stack, opened = [root], [root], {}
+    at, text, found, any_main = 0, [], [], False
 
     def flush() -> None:
         if text:
             joined = " ".join("".join(text).split())
             text.clear()
             if joined:
-                found.append((joined, top))
-                top.parts.append(joined)
-                top.blank = False
+                found.append((joined, stack[-1]))
+                stack[-1].parts.append(joined)
 
-    def close(e: Element) -> Element:
+    def close() -> None:
+        e = stack.pop()
+        opened[e.tag].pop()
         own = blake2b("\x00".join([e.tag, *e.parts]).encode("utf-8", "surrogatepass"), digest_size=8).digest()
         e.hash = int.from_bytes(own, "little", signed=True)
         e.parent.parts.append(own.hex())
-        e.parent.blank &= e.blank
-        return e.parent
 
     def shut(names: set[str], stop: set[str]) -> None:
-        nonlocal top
-        e = top
-        while e.parent is not None and e.tag not in stop:
-            if e.tag in names:
-                flush()
-                while top is not e.parent:
-                    top = close(top)
-                return
-            e = e.parent
+        """Close the innermost open element of one of ``names``, and what is in it, if no element of ``stop`` lies between."""
+        depth = max((opened[x][-1] for x in names if opened.get(x)), default=0)
+        if depth and depth >= max((opened[x][-1] for x in stop if opened.get(x)), default=0):
+            flush()
+            while len(stack) > depth:
+                close()
 
     size = len(page)
     while at < size:
@@ -137,90 +176,131 @@ def parse(page: str) -> list[tuple[str, Element]]:
                 shut({"p"}, {"table", "td", "th", "button", "object"})
             if name in CLOSES:
                 shut(CLOSES[name], SCOPES[name])
-            inside = any(e.main for e in _line(top))
-            drop, main, named = _is_chrome(name, raw, inside)
+            top = stack[-1]
+            e = Element(name, top, *_is_chrome(name, raw, top.inside))
             # what holds the page's first main element is no chrome, whatever its class says; one in comments or other chrome is not meant
-            if main and not any_main and not any(e.drop and not e.named for e in _line(top)):
+            if e.main and not any_main and not top.hard:
                 any_main = True
-                for e in _line(top):
-                    e.drop = False
-            top = Element(name, top, drop, main, named)
+                for x in stack:
+                    x.drop = False
+            stack.append(e)
+            elements.append(e)
+            opened.setdefault(name, []).append(e.depth)
     flush()
-    while top.parent is not None:
-        top = close(top)
-    return found
+    while len(stack) > 1:
+        close()
+    return found, elements
 
 
-def _line(e: Element) -> list[Element]:
-    out = []
-    while e is not None and e.tag:
-        out.append(e)
-        e = e.parent
-    return out
-
-
-def _main_blocks(blocks: list[tuple[str, Element]]) -> list[tuple[str, list[Element], bool]]:
-    """Blocks outside chrome, with their elements from the inside out and whether a main element holds them."""
-    kept = []
-    for said, e in blocks:
-        line = _line(e)
-        if not any(x.drop for x in line):
-            kept.append((said, line, any(x.main for x in line)))
-    return kept
+def _may_recur(e: Element) -> bool:
+    return not (e.main or e.tag in ("", "html", "body"))
 
 
 def template_hashes(page: str) -> set[int]:
     """Hashes of the subtrees of a page that may be its site's: block elements with text, but the page and its main part."""
-    found: set[int] = set()
-    done: set[int] = set()
-    for _, e in parse(page):
-        for x in _line(e):
-            if id(x) in done:
-                break
-            done.add(id(x))
-            if not (x.main or x.tag in ("html", "body")):
-                found.add(x.hash)
-    return found
-
-
-def main_text(page: str, templates: dict[int, int]) -> str:
-    """The main text of a page. ``templates``: 1 if a subtree of this hash goes outside the main element, 2 if inside too."""
-    out = []
-    for said, line, inside in _main_blocks(parse(page)):
-        least = 2 if inside else 1
-        if not any(templates.get(x.hash, 0) >= least for x in line if not (x.main or x.tag in ("html", "body"))):
-            out.append(said)
-    return "\n".join(out)
+    return {e.hash for e in parse(page)[1] if e.parts and _may_recur(e)}
+
+
+def main_text(page: str, levels: Callable[[list[int]], Sequence[int]]) -> str:
+    """The main text of a page. ``levels`` of subtrees' hashes: 1 if it goes outside the main element, 2 if inside too, else 0.
+
+    Subtrees that recur go first; then what is marked as chrome. If nothing of the main part (without one, of the page) recurs not, that
+    is the page's own text, and is kept.
+    """
+    blocks, elements = parse(page)
+    for e, level in zip(elements, levels([e.hash for e in elements]), strict=True):
+        above = e.parent
+        e.gone = e.drop or above is not None and above.gone
+        e.recurs = above is not None and above.recurs or bool(e.parts) and _may_recur(e) and level >= (2 if e.inside else 1)
+    shown = [(said, e) for said, e in blocks if not e.gone]
+    main = [(said, e) for said, e in shown if e.inside] or shown
+    spared = all(e.recurs for _, e in main)
+    own = {id(e) for _, e in main} if spared else ()
+    return "\n".join(said for said, e in shown if not e.recurs or id(e) in own)
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, hashes = [], []
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = template_hashes(page) if page else ()
-            hosts += [host] * len(own)
-            hashes += own
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
+        found = [list(template_hashes(page)) if page else [] for page in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["host", "page", "hashes"])
+
+
+def _host_key(host: str) -> np.uint64:
+    return np.uint64(int.from_bytes(blake2b(host.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+
+
+def _keys(host: str, hashes: np.ndarray) -> np.ndarray:
+    """64 bits for a host and each subtree's hash."""
+    return mix(hashes.view(np.uint64) + mix(np.array([_host_key(host)]))[0])
+
+
+class Templates:
+    """Sorted keys of hosts' templates, with their levels."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.levels = keys[order], levels[order]
+
+    def text(self, host: str, page: str | None) -> str:
+        if not page:
+            return ""
+
+        def levels(hashes: list[int]) -> np.ndarray:
+            if not len(self.keys):
+                return np.zeros(len(hashes), np.int8)
+            own = _keys(host, np.array(hashes, np.int64))
+            at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            return np.where(self.keys[at] == own, self.levels[at], 0)
+
+        return main_text(page, levels)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, level of rows of host, hash, level."""
+    for batch in batches:
+        hosts, hashes = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        keys = np.concatenate([_keys(h, hashes[i : i + 1]) for i, h in enumerate(hosts)] or [np.zeros(0, np.uint64)])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(2)], ["key", "level"])
+
+
+def _texts(templates: Templates, docs: pa.Table | pa.RecordBatch) -> list[str]:
+    return [templates.text(host, page) for host, page in zip(docs.column("host").to_pylist(), docs.column("html").to_pylist(), strict=True)]
+
+
+def _extract_with(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates = Templates(*sent.value)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                batch = whole.slice(a, 256)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(_texts(templates, batch), pa.string())], ["id", "url", "text"])
+
+    return run
 
 
 def _extract(docs: pa.Table, templates: pa.Table) -> pa.Table:
-    known: dict[str, dict[int, int]] = {}
-    for host, own, level in zip(*(templates.column(x).to_pylist() for x in ("host", "hash", "level")), strict=True):
-        known.setdefault(host, {})[own] = level
-    texts = [main_text(page, known.get(host, {})) if page else "" for host, page in zip(docs.column("host").to_pylist(), docs.column("html").to_pylist(), strict=True)]
-    return pa.table([docs.column("id"), docs.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
+    known = Templates(templates.column("key").to_numpy().view(np.uint64), templates.column("level").to_numpy())
+    return pa.table([docs.column("id"), docs.column("url"), pa.array(_texts(known, docs), pa.string())], ["id", "url", "text"])
+
 
+def _hosted(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    return pages.select(url_host(F.col(url_col)).alias("host"), F.xxhash64(F.col(html_col)).alias("page"), F.col(html_col).alias("html"))
 
-def site_templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", share: float = 0.01, least: int = 3, inner_share: float = 0.5, inner_least: int = 10) -> DataFrame:
+
+def site_templates(
+    pages: DataFrame, *, url_col: str = "url", html_col: str = "html", share: float = 0.01, least: int = 5, inner_share: float = 0.5, inner_least: int = 10
+) -> DataFrame:
     """Subtrees that recur on a host: host, hash, level.
 
     Level 1 is for those on at least ``least`` pages of the host and ``share`` of them, which go outside a page's main element; 2 for
-    those on ``inner_least`` and ``inner_share``, which go inside it too. Each page counts once for a subtree, and counts are added up in
-    the tasks before they meet. A host has at most 1 / share times a page's subtrees of them.
+    those on ``inner_least`` and ``inner_share``, which go inside it too. Pages of one html are one page, each counts once for a subtree,
+    and counts are added up in the tasks before they meet. A host has at most 1 / share times a page's subtrees of them.
     """
-    hosted = pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    counts = hosted.mapInArrow(_hashes, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min(least, inner_least))
-    sizes = hosted.groupBy("host").agg(F.count("*").alias("pages"))
+    hosted = _hosted(pages, url_col, html_col)
+    pages_once = hosted.mapInArrow(_hashes, "host string, page long, hashes array<long>").groupBy("host", "page").agg(F.first("hashes").alias("hashes"))
+    pages_once = pages_once.select("host", F.explode("hashes").alias("hash"))
+    counts = pages_once.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min(least, inner_least))
+    sizes = hosted.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     level = F.when((F.col("n") >= inner_least) & (F.col("n") >= F.col("pages") * inner_share), 2).when((F.col("n") >= least) & (F.col("n") >= F.col("pages") * share), 1)
     return counts.join(sizes, "host").select("host", "hash", level.cast("int").alias("level")).where("level is not null")
 
@@ -229,20 +309,44 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     """Main text of every page: id_col, url, text.
 
     A first pass hashes each page's element subtrees and counts them per host (``site_templates``); a second deletes the subtrees that
-    recur, and elements whose name, role or class marks them as chrome (menus, footers, notices, adverts, forms, comments, ...).
-    Both hold inside and outside an article or main element; inside, a subtree must recur on more pages. Blocks are joined by a line break; inside one,
-    character references are decoded and white space is one space.
-
-    Pages and templates meet by host and one of 16 salts, so a large host is split over many tasks. Null and empty html give an
-    empty text; a null url is a host of its own (empty). Broken and unclosed markup is read on, as browsers do. Repeated rows count as
-    pages each. An empty table gives an empty result.
+    recur, then elements whose tag, role or whole class name marks them as chrome (menus, footers, notices, adverts, forms, comments, ...).
+    Both hold inside and outside an article or main element; inside, a subtree must recur on more pages, fewer class names count, and
+    header and aside elements are text. An article that is a reader's comment is no main part and goes. If all of a page's main part
+    recurs, it stays: a page that many copies have keeps its text. Blocks are joined by a line break; inside one, character references
+    are decoded and white space is one space.
+
+    Up to a million templates go to all tasks as 9 bytes each, and pages stay where they are. With more, pages and templates
+    meet by host, a host of many pages in several groups, dealt by a hash of the whole row. Null and empty html give an empty text; a
+    null url is a host of its own (empty). Broken and unclosed markup is read on, as browsers do. Repeated rows each have a result, and
+    count as one page. An empty table gives an empty result. Other columns are not read.
     """
-    buckets = count_buckets(pages)
+    spark = pages.sparkSession
     templates = stage(site_templates(pages, url_col=url_col, html_col=html_col, **options), "templates")
-    bucket = F.pmod(F.xxhash64("host", "salt"), F.lit(buckets)).cast("int").alias("bucket")
-    salt = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(SALTS)).cast("int")
-    docs = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), url_host(F.col(url_col)).alias("host"), salt.alias("salt"))
-    docs = docs.select(bucket, "id", "url", "html", "host")
-    dealt = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(bucket, "host", "hash", "level").distinct()
-    out = docs.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(_extract, f"id {docs.schema['id'].dataType.simpleString()}, url string, text string")
+    docs = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), url_host(F.col(url_col)).alias("host"))
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, url string, text string"
+    if is_small(templates, SMALL):
+        keyed = templates.select("host", "hash", "level").mapInArrow(_keyed, "key long, level int").toArrow()
+        sent = spark.sparkContext.broadcast((keyed.column("key").to_numpy().view(np.uint64), keyed.column("level").to_numpy().astype(np.int8)))
+        out = docs.mapInArrow(_extract_with(sent), schema)
+    else:
+        buckets = count_buckets(pages)
+        sizes = stage(docs.groupBy("host").agg(F.count("*").alias("pages")), "sizes")
+        total = sizes.agg(F.sum("pages")).first()[0] or 0
+        share = max(1, total // buckets)
+        large = sizes.where(F.col("pages") > max(share, total // SPLIT)).select("host", F.ceil(F.col("pages") / share).alias("salts"))
+        large = F.broadcast(large)  # SPLIT hosts at most, whatever the size
+        salts = F.coalesce("salts", F.lit(1))
+        bucket = F.pmod(F.xxhash64("host", "salt"), F.lit(buckets)).cast("int").alias("bucket")
+        salt = F.pmod(F.xxhash64("id", "url", "html"), salts)
+        dealt = docs.join(large, "host", "left").withColumn("salt", salt).select(bucket, "id", "url", "html", "host")
+        spread = templates.join(large, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+        spread = spread.select(bucket, "host", "hash", "level").distinct()
+        keyed = spread.select("host", "hash", "level", "bucket").mapInArrow(_keyed_buckets, "bucket int, key long, level int")
+        out = dealt.groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInArrow(_extract, schema)
     return out.withColumnsRenamed({"id": id_col, "url": url_col})
+
+
+def _keyed_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        (keyed,) = _keyed(iter([batch]))
+        yield pa.RecordBatch.from_arrays([batch.column(3), *keyed.columns], ["bucket", "key", "level"])

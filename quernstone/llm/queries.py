@@ -169,6 +169,35 @@ r AS (SELECT k.doc_id, count(*) FILTER (g.p IS NOT NULL) AS n_removed, string_ag
       FROM k LEFT JOIN g ON g.doc_id = k.doc_id AND g.p = k.p GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, COALESCE(n_removed, 0)::BIGINT AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256
 FROM d LEFT JOIN r USING (doc_id)
+""",
+    # of two edits at most, one of three parts of a line is free; levenshtein counts bytes here, which is never less than characters and at most
+    # four times as many, so pairs between are worked out by rows of the table of distances
+    "op10_edit_join_lines": r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, COALESCE(string_split(text, chr(10)), []) AS lines FROM documents),
+l AS (SELECT doc_id, COALESCE(doc_id, 9000000000000000)::HUGEINT * 1000000000 + n AS place, line, trim(line, ' ') <> '' AS said
+      FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS n FROM d)),
+f AS (SELECT line, length(line) AS size, min(place) AS first FROM l WHERE said GROUP BY line),
+u AS (SELECT *, least(size // 20, 2) AS t FROM f WHERE size >= 20),
+c AS (SELECT a.line AS a, b.line AS b, a.t, a.first AS first_a, b.first AS first_b
+      FROM u a JOIN (SELECT *, size - unnest([0, 1, 2]) AS near FROM u) b ON a.size = b.near AND (a.size < b.size OR a.line < b.line) AND b.size - a.size <= a.t
+      WHERE abs(strlen(a.line) - strlen(b.line)) <= 4 * a.t
+        AND (contains(b.line, a.line[1:a.size // 3]) OR contains(b.line, a.line[a.size // 3 + 1:2 * (a.size // 3)]) OR contains(b.line, a.line[2 * (a.size // 3) + 1:]))),
+e AS MATERIALIZED (SELECT *, levenshtein(a, b) AS bytes FROM c),
+y AS MATERIALIZED (SELECT row_number() OVER () AS id, string_split(a, '') AS x, string_split(b, '') AS y, * FROM e WHERE bytes > t AND bytes <= 4 * t),
+r AS (SELECT id, 0 AS j, range(len(x) + 1) AS row FROM y
+      UNION ALL
+      SELECT id, j, list_transform(row, lambda v, i: (i - 1) + list_min(list_transform(row[1:i], lambda w, k: w - (k - 1)))) AS row
+      FROM (SELECT id, j + 1 AS j, list_prepend(j + 1, list_transform(range(1, len(x) + 1), lambda i: least(row[i + 1] + 1, row[i] + (x[i] <> y[j + 1])::INT))) AS row
+            FROM r JOIN y USING (id) WHERE j < len(y))),
+k AS (SELECT a, b, first_a, first_b FROM e WHERE bytes <= t
+      UNION ALL SELECT a, b, first_a, first_b FROM y JOIN r USING (id) WHERE j = len(y) AND row[len(x) + 1] <= t),
+n AS (SELECT line, count(*) AS links, bool_or(other < own) AS late
+      FROM (SELECT a AS line, first_a AS own, first_b AS other FROM k UNION ALL SELECT b, first_b, first_a FROM k) GROUP BY line),
+g AS (SELECT doc_id, place, line, CASE WHEN said THEN COALESCE(links, 0) ELSE 0 END AS links, said AND (place <> first OR COALESCE(late, false)) AS gone
+      FROM l LEFT JOIN f USING (line) LEFT JOIN n USING (line)),
+s AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, sum(links) AS n_links, string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, len(lines)::BIGINT AS n_lines, COALESCE(n_removed, 0)::BIGINT AS n_removed, COALESCE(n_links, 0)::BIGINT AS n_links, sha256(COALESCE(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s ON s.doc_id IS NOT DISTINCT FROM d.doc_id
 """,
 }
 

@@ -1,5 +1,8 @@
 import math
+import random
 import zlib
+from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -177,13 +180,18 @@ def test_undetermined_and_rejected(spark, sf_dir):
 
 # --- pages ---
 
+def plain(page):
+    """The text without templates."""
+    return pages.main_text(page, lambda hashes: [0] * len(hashes))
+
+
 CHROME = """<header><h1>Site</h1></header><nav><ul><li>A<li>B</ul></nav><div class="cookie-notice">We use cookies</div><div id=sidebar>side</div><form><input>go</form>
 <script>if (a < b) document.write("<p>no</p>")</script><style>p{}</style><section class="comments"><p>first!</p></section><div class='ad'>Buy</div><aside>more</aside><footer>&copy; x</footer>"""
 
 
 def test_chrome_goes_and_the_article_stays():
     page = f"<!DOCTYPE html><html><head><title>T</title></head><body>{CHROME}<article><h1>Head &lt;1&gt;</h1><p>one\n  two<br>three &amp; &eacute;&#33;<p>four <b>bo</b>ld<ul><li>x<li>y</ul><!-- no <p>no</p> --></article>{CHROME}</body>"
-    assert pages.main_text(page, {}) == "Head <1>\none two three & é!\nfour bold\nx\ny"
+    assert plain(page) == "Head <1>\none two three & é!\nfour bold\nx\ny"
 
 
 @pytest.mark.parametrize(
@@ -191,12 +199,94 @@ def test_chrome_goes_and_the_article_stays():
     [("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\nb"), ("<article><p>a</p><p>b &am", "a\nb &am"), ("<p>a</p><scr", "a"), ("<script>x", ""), ("a < b", "a < b"), ("<div>a<div>b</div>c</div>", "a\nb\nc"), ('<p title="a>b">c</p>', "c"), ("<td>a<td>b", "a\nb")],
 )
 def test_broken_markup(page, want):
-    assert pages.main_text(page, {}) == want
+    assert plain(page) == want
 
 
 def test_a_class_name_does_not_drop_what_holds_the_article():
     page = "<div class='page has-sidebar widget'><div class=ad>x</div><article><p>kept</p></article><div class=comments><article><p>reader</p></article></div></div>"
-    assert pages.main_text(page, {}) == "kept"
+    assert plain(page) == "kept"
+
+
+class Tree(HTMLParser):
+    """A plain reading of well-formed pages: nested lists of [tag, attributes, children], a child a list or a string."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.top = ["", {}, []]
+        self.open = [self.top]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.open[-1][2].append(e := [tag, dict(attrs), []])
+        self.open.append(e)
+
+    def handle_endtag(self, tag):
+        assert self.open.pop()[0] == tag
+
+    def handle_data(self, data):
+        if data.strip():
+            self.open[-1][2].append(" ".join(data.split()))
+
+
+def signature(e):
+    own = [x if isinstance(x, str) else signature(x) for x in e[2]]
+    return (e[0], *(x for x in own if x)) if any(own) else ()
+
+
+def subtrees(e):
+    for x in e[2]:
+        if not isinstance(x, str):
+            if x[0] not in ("html", "body", "article", "main") and signature(x):
+                yield signature(x)
+            yield from subtrees(x)
+
+
+def brute_text(page, counts, n_pages):
+    kept = []
+
+    def walk(e, inside, recurs):
+        inside = inside or e[0] in ("article", "main")
+        if e[0] in ("nav", "footer") or e[1].get("class") in ("ad", "comments"):
+            return
+        if e[0] not in ("", "html", "body", "article", "main") and signature(e):
+            n = counts[signature(e)]
+            recurs = recurs or (n >= 10 and n >= n_pages / 2) or (not inside and n >= 5 and n >= n_pages / 100)
+        for x in e[2]:
+            if isinstance(x, str):
+                kept.append((x, inside, recurs))
+            else:
+                walk(x, inside, recurs)
+
+    walk(Tree(page).top, False, False)
+    main = [x for x in kept if x[1]] or kept
+    spared = all(r for _, _, r in main)
+    return "\n".join(x for x, inside, r in kept if not r or spared and (x, inside, r) in main)
+
+
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_texts_are_those_of_a_plain_count_of_subtrees(spark, monkeypatch, small):
+    """Random well-formed pages of three hosts, on most of which what recurs changes the result."""
+    monkeypatch.setattr(pages, "SMALL", small)
+    rng, rows = random.Random(small), []
+    boxes = {h: [f"<div><p>box {k} of {h}</p><div><p>more</p>{k}</div></div>" for k in range(4)] for h in "abc"}
+    for i in range(150):
+        host = rng.choice("aaaaabbc")
+        own = [f"<p>story {rng.randrange(100)} {rng.randrange(12)}</p>" for _ in range(rng.randrange(0, 4))] + rng.choices(boxes[host], k=2)
+        own += [rng.choice(["<nav><p>menu</p></nav>", "<div class='ad'><p>buy</p></div>", f"<section><p>part {rng.randrange(40)}</p></section>", "<div class='comments'><p>first</p></div>"])]
+        rng.shuffle(own)
+        at = rng.randrange(len(own) + 1)
+        body = rng.choice(["".join(own), "".join(own[:at]) + "<article>" + "".join(own[at:]) + "</article>"])
+        rows.append((i, f"http://{host}.example/{i}", f"<html><body>{body}<footer><p>end</p></footer></body></html>"))
+    rows += [(200 + i, "http://c.example/x", rows[0][2]) for i in range(30)]  # one page many times is one page
+    page_sets = {}
+    for _, url, page in rows:
+        page_sets.setdefault(url[7], {})[page] = set(subtrees(Tree(page).top))
+    counts = {h: Counter(x for found in own.values() for x in found) for h, own in page_sets.items()}
+    want = {i: brute_text(page, counts[url[7]], len(page_sets[url[7]])) for i, url, page in rows}
+    df = spark.createDataFrame(rows + [(None, None, None), (None, "http://a.example/", "")], "page_id long, url string, html string").repartition(4)
+    got = pages.extract_main_text(df).collect()
+    assert {r.page_id: r.text for r in got if r.page_id is not None} == want and sum(r.page_id is None and r.text == "" for r in got) == 2
+    assert sum(t != brute_text(page, Counter(), 1) for (i, _, page), t in ((r, want[r[0]]) for r in rows)) > 50
 
 
 def test_recurring_subtrees_go(spark):
@@ -209,10 +299,37 @@ def test_recurring_subtrees_go(spark):
     assert got[5] == "Story 5 of its own\nShared by few 5" and got[35] == "Story 35 of its own\nShared by few 6" and got[99] == ""
     levels = {(r.host, r.level) for r in pages.site_templates(df).collect()}
     assert levels == {("a.example", 2), ("b.example", 2)}
-    # the same by hand: what every page of a host has
-    for i, url, page in rows:
-        count = {h: sum(h in pages.template_hashes(p) for _, u, p in rows if u.split("/")[2] == url.split("/")[2]) for h in pages.template_hashes(page)}
-        assert got[i] == pages.main_text(page, {h: 1 for h, n in count.items() if n >= 3})
+
+
+def test_copies_keep_their_text(spark):
+    """Identical pages, and pages that are copies but for a menu or a line outside, on a host of no others."""
+    story = "<div class=story><p>One</p><p>Two</p></div>"
+    rows = [(i, "http://h.example/", f"<body>{story}</body>") for i in range(20)] + [(30 + i, "http://i.example/", f"<body><nav>{i}</nav>{story}</body>") for i in range(20)]
+    rows += [(60 + i, "http://j.example/", f"<body><p>{i}</p><article>{story}</article></body>") for i in range(20)]
+    got = {r.page_id: r.text for r in pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == got[30 + i] == "One\nTwo" and got[60 + i] == f"{i}\nOne\nTwo" for i in range(20))
+
+
+def test_names_count_whole():
+    for name, chrome in [("cookie-notice", 1), ("site-footer", 1), ("ad-slot", 1), ("ad-300x250", 1), ("share", 1), ("social-history", 0), ("menu-planning", 0), ("has-sidebar", 0), ("comments-open", 0), ("shadow", 0), ("menu", 0), ("user-comments", 1)]:
+        page = f"<article><p>a</p><div class='{name}'><p>b</p></div></article>"
+        assert plain(page) == ("a" if chrome else "a\nb"), name
+    assert plain("<p>a</p><div id=menu><p>b</p></div><section id='menu-planning'>c</section>") == "a\nc"
+    assert plain("<main><p>a</p><article class='comment'><p>reader</p></article><aside>note</aside></main>") == "a\nnote"
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<p><div>", "<table><div>", "<ul><li>", "<div></p>", "<b><div class=ad>"])
+def test_deep_pages_take_time_by_their_size(unit):
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        assert plain(unit * n + "x") == ("" if "ad" in unit else "x")
+        return time.perf_counter() - began
+
+    seconds(100)
+    few, many = (min(seconds(n) for _ in range(2)) for n in (4_000, 40_000))
+    assert many < 40 * few
 
 
 def test_articles_keep_what_recurs_on_some_pages(spark):
@@ -232,11 +349,11 @@ def test_an_article_in_comments_or_chrome_is_not_the_main_part():
     reader = "<article><p>reader</p></article>"
     for mark in ("class=comments", "class='comment-list wide'", "id=disqus_thread", "class='x comments-area'"):
         page = f"<body><div {mark}>{reader}</div><div class='page widget'><article><p>kept</p></article></div></body>"
-        assert pages.main_text(page, {}) == "kept"
-        assert pages.main_text(f"<div class=story><p>kept</p></div><section {mark}>{reader}</section>", {}) == "kept"
-    assert pages.main_text(f"<aside>{reader}</aside><div class=widget><article><p>kept</p></article></div>", {}) == "kept"
+        assert plain(page) == "kept"
+        assert plain(f"<div class=story><p>kept</p></div><section {mark}>{reader}</section>") == "kept"
+    assert plain(f"<aside>{reader}</aside><div class=widget><article><p>kept</p></article></div>") == "kept"
     for mark in ("comments-open", "has-comments", "no-comments widget"):
-        assert pages.main_text(f"<div class='{mark}'><article><p>kept</p></article></div>", {}) == "kept"
+        assert plain(f"<div class='{mark}'><article><p>kept</p></article></div>") == "kept"
 
 
 # --- urls ---
