@@ -46,10 +46,10 @@ def with_stamps(lines: DataFrame, per_edit: int, most: int) -> DataFrame:
 
     A line of n characters is cut at floor(n i / (t + 1)). A stamp is a hash of the tolerance t, the segment's number, the length of
     the shorter line and the segment; ``longer`` says by how much this line is longer than that. It is made in steps, since generated
-    code that is too long is never compiled to machine code.
+    code that is too long is never compiled to machine code, and from four bytes a character, so that no place has to be counted off.
     """
-    size, line = F.col("size"), F.col("line")
-    sized = lines.withColumn("size", F.length("line")).where(F.col("size") >= per_edit)
+    size, wide = F.col("size"), F.col("_wide")
+    sized = lines.withColumn("size", F.length("line")).where(F.col("size") >= per_edit).withColumn("_wide", F.encode("line", "UTF-32"))
     cuts = {f"_cut_{t}_{d}_{i}": F.expr(f"cast(((size - {d}) * {i}) div {t + 1} as int)") for t in range(1, most + 1) for d in range(t + 1) for i in range(1, t + 1)}
     cut = lambda t, d, i: F.lit(0) if i == 0 else size - d if i == t + 1 else F.col(f"_cut_{t}_{d}_{i}")
     lists = {}
@@ -57,7 +57,7 @@ def with_stamps(lines: DataFrame, per_edit: int, most: int) -> DataFrame:
         made = []
         for d, i, s in shifts(t):
             start, end = cut(t, d, i), cut(t, d, i + 1)
-            made.append(F.xxhash64(F.lit(16 * t + i), size - d, F.substring(line, start + (s + 1), end - start)))
+            made.append(F.xxhash64(F.lit(16 * t + i), size - d, F.substring(wide, (start + s) * 4 + 1, (end - start) * 4)))
         # a line meets shorter ones of tolerance t; it may have a higher one itself, but then it is no segment of its own here
         met = size >= per_edit * t if t == most else size.between(per_edit * t, per_edit * (t + 1) - 1 + t)
         lists[f"_list_{t}"] = F.when(met, F.array(*made)).otherwise(F.array().cast("array<bigint>"))
