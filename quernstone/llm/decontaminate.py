@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..staging import is_small, stage
+from .names import free_name
 
 #: Between words, after A-Z are lower-cased.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -87,7 +88,9 @@ def item_hits(
 def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_items: int = 2, **options) -> DataFrame:
     """One row per document row: id_col, n_words, n_hit (words inside any occurrence), items (sorted as strings), contaminated.
 
-    ``contaminated`` says that at least ``min_items`` items have a window in the document. See ``item_hits`` for nulls and repeated rows.
+    ``contaminated`` says that at least ``min_items`` items have a window in the document. See ``item_hits`` for nulls and repeated rows:
+    each row has a result, by its own text. Without items, or with none that has words, nothing is hit; no documents give no rows. Other
+    columns are not read.
     """
     hits = item_hits(docs, items, id_col=id_col, text_col=text_col, **options)
     spans = F.array_sort(F.collect_set(F.struct("start", "size")))
@@ -137,6 +140,8 @@ def contained_items(
 
     Returns id, text_hash (together they name a row), item, contained (the largest share), a row for each item and place it was found at.
     An item shorter than a shingle is one shingle; items without words or with a null id take no part, nor do documents without words.
+    Repeated items and documents change nothing; an item id with two texts is found if either is. Without items or documents there are no
+    rows. Other columns are not read.
     """
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), words(F.col(text_col)).alias("w"))
     listed = items.where(F.col(item_id_col).isNotNull()).select(F.col(item_id_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("w"))
@@ -178,12 +183,18 @@ def contained_items(
 
 
 def drop_containing(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that contain no item, as ``contained_items`` has it."""
-    bad = contained_items(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash")), "left_anti")
+    """The documents that contain no item, as ``contained_items`` has it; their columns stay as they are, whatever their names.
+
+    Each row is judged by its own text: rows of null ids, of one id with different texts, and repeated rows (all of which go or stay).
+    Null and empty texts stay. Without items all rows stay; an empty table gives an empty result.
+    """
+    own = free_name(docs.columns, "_id")
+    bad = contained_items(docs, items, id_col=id_col, text_col=text_col, **options)
+    bad = bad.select(F.col("id").alias(own), F.col("text_hash").alias(own + "_hash")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad[own]) & (F.xxhash64(docs[text_col]) == bad[own + "_hash"]), "left_anti")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without those that ``contamination`` marks; a row with a null id stays."""
+    """The documents without those ids that ``contamination`` marks a row of; a row with a null id stays. Columns stay as they are."""
     bad = contamination(docs, items, id_col=id_col, **options).where("contaminated").select(id_col).distinct()
     return docs.join(bad, id_col, "left_anti")

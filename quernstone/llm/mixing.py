@@ -7,10 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..staging import if_small, stage
+from .names import without
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bins of one level of the search for a source's threshold; two levels leave about one row in 16 million to order.
 BINS = 4096
+#: Columns that the mix adds.
+MADE = ("size", "source_size", "target", "copies", "taken")
 
 
 def uniform(id_col: str, seed: int) -> Column:
@@ -57,7 +60,8 @@ def pareto_mix(
     """How many copies of each document a mix takes.
 
     A document's expected copies are its source's target over the source's size, times its ``appeal_col`` over the source's
-    size-weighted mean if one is given, at most ``max_copies``. It gets the whole part for certain. What is left of the target in
+    size-weighted mean if one is given, at most ``max_copies``: what that bound takes from some is shared by the others of the source,
+    by appeal, until none is above it (``_rates``). It gets the whole part for certain. What is left of the target in
     words goes to further single copies in Pareto order: a uniform number's odds over the odds of the fractional part, ascending, up
     to the row whose middle word passes what is left. That row is found from sums over two levels of bins, so no source is ever
     ordered as a whole: only the rows of one bin in 16 million are.
@@ -65,9 +69,11 @@ def pareto_mix(
     Returns a row per input row: ``id_col``, ``source_col``, size, source_size, target, copies, taken. A size counts runs of
     characters other than white space of ASCII; null and empty texts have size 0 and take 0 words. Null sources are one source, after the others.
     Rows of the same id and size draw the same number, are next to each other in the order and can't be told apart in the result.
-    A null or negative appeal counts as 0. An empty table gives an empty result. Other columns are not read,
-    but with ``keep``, these columns of each row stand in place of id and source, and tied rows are ordered by a hash of them.
+    A null or negative appeal counts as 0, and a source whose appeals are all 0 takes nothing. An empty table gives an empty result. Other
+    columns are not read, but with ``keep``, these columns of each row stand in place of id and source (but those that are named as what is
+    made is, which this replaces), and tied rows are ordered by a hash of them.
     """
+    keep = tuple(without(keep, MADE))
     appeal = F.greatest(F.coalesce(F.col(appeal_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if appeal_col else F.lit(1.0)
     sized = docs.select(
         F.col(id_col).alias("id"),
@@ -84,9 +90,11 @@ def pareto_mix(
     targets = source_targets(totals.drop("pull"), weights, max_copies).join(totals.select("key", "pull"), "key")
     targets = if_small(stage(targets, "targets"), 100_000)
 
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     if appeal_col:
-        rate = F.when(F.col("pull") > 0, rate * F.col("appeal") * F.col("source_size") / F.col("pull")).otherwise(rate)
+        targets = _rates(sized, targets, max_copies)
+        rate = F.col("rate") * F.col("appeal")
+    else:
+        rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     drawn = sized.join(targets.drop("source"), "key").withColumn("expected", F.least(rate, F.lit(float(max_copies))))
     drawn = drawn.withColumn("whole", F.floor("expected").cast("long")).withColumn("part", F.col("expected") - F.col("whole"))
     odds = (F.col("u") / (1.0 - F.col("u"))) / (F.col("part") / (1.0 - F.col("part")))
@@ -129,6 +137,29 @@ def pareto_mix(
     )
 
 
+def _rates(sized: DataFrame, targets: DataFrame, max_copies: int) -> DataFrame:
+    """``targets`` with each source's rate: the copies for an appeal of 1, such that the expected words, none over ``max_copies``, make the target.
+
+    Documents that the bound holds are set aside and the rest is shared by the others, which may bring more to the bound; each round
+    adds up one row a source, and the rates only rise, until no more documents are set aside.
+    """
+    rates = targets.withColumn("rate", F.when(F.col("pull") > 0, F.col("target") / F.col("pull")).otherwise(0.0))
+    held = None
+    while True:
+        rates = if_small(stage(rates, "rates"), 100_000)
+        full = F.col("rate") * F.col("appeal") >= max_copies
+        sums = sized.join(rates.select("key", "rate"), "key").groupBy("key").agg(
+            F.sum(F.when(full, F.col("size")).otherwise(0)).alias("bound"), F.sum(F.when(full, 0.0).otherwise(F.col("size") * F.col("appeal"))).alias("free"), F.count(F.when(full, 1)).alias("n")
+        )
+        sums = if_small(stage(sums, "sums"), 100_000)
+        if (now := sums.agg(F.sum("n")).first()[0] or 0) == held or not now:
+            return rates
+        held = now
+        left = F.col("target") - F.col("bound") * float(max_copies)
+        rates = rates.join(sums, "key").withColumn("rate", F.when((F.col("free") > 0) & (left > 0), F.greatest("rate", left / F.col("free"))).otherwise(F.col("rate")))
+        rates = rates.drop("bound", "free", "n")
+
+
 def _first_past(bins: DataFrame, need: DataFrame, bin_col: str) -> DataFrame:
     """The first bin of each key at whose end the words pass ``need``, and the need that is left at its start. At most BINS rows a key."""
     upto = F.sum("words").over(W.partitionBy("key").orderBy(bin_col))

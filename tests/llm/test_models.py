@@ -394,3 +394,33 @@ def test_trees_learn_lexical_labels(spark):
     test = model.predict(df.where("i % 5 = 0"), "url")
     assert test.where("bad = blocked").count() >= 0.95 * test.count()
     assert urls.fit_urls(df.where("bad"), "url", "bad").predict(df, "url").where("not blocked").count() == 0
+
+
+def test_rates_of_suffixes_do_not_tell_labels(spark):
+    """Labels drawn at random, each url with a suffix of its own: without folds the rates would tell them all."""
+    rng = np.random.default_rng(6)
+    rows = [(f"http://h{i}.s{i}x/", bool(rng.integers(2))) for i in range(400)]
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    model = urls.fit_urls(df, "url", "bad", trees=3, depth=2)
+    importance = dict(zip(urls.FEATURES, model.trees.featureImportances.toArray(), strict=True))
+    assert importance["tail_rate"] == importance["end_rate"] == 0
+
+
+def test_held_out_pages_are_judged_as_rules_do(spark):
+    """Trees fitted on four fifths of the urls that rules decide, against the rules on the rest."""
+    pages_ = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    ruled = pages_.withColumn("m", urls.rule_match(urls.url_host(F.col("url")), urls.url_path(F.col("url")), urls.RULES)).where("m is not null")
+    ruled = ruled.select("url", (F.col("m.verdict") == "block").alias("bad"), F.pmod(F.crc32("url"), F.lit(5)).alias("fold"))
+    model = urls.fit_urls(ruled.where("fold <> 0"), "url", "bad")
+    test = model.predict(ruled.where("fold = 0"), "url")
+    n, right = test.count(), test.where("bad = blocked").count()
+    assert n > 100 and right >= 0.9 * n
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "http://a.com/x", 1.5, "d", "l", "f"), (2, None, None, None, None, None), (3, "http://b.org/y", 2.0, "e", "m", "g")]
+    df = spark.createDataFrame(rows, "page_id long, url string, _depth double, row string, lex string, features string")
+    got = urls.judge_urls(df, trees=2).orderBy("page_id")
+    assert got.columns == [*df.columns, "host", "path", "rule", "verdict"] and [tuple(r)[:6] for r in got.collect()] == rows
+    again = urls.judge_urls(got.withColumnRenamed("verdict", "Verdict"), trees=2).orderBy("page_id")
+    assert [tuple(r) for r in again.collect()] == [tuple(r) for r in got.collect()] and again.columns == got.columns
