@@ -23,42 +23,49 @@ def unescape(text: Column) -> Column:
 def reply_paths(messages: DataFrame, *, best: int = 1) -> DataFrame:
     """Root-to-leaf paths of reply trees.
 
-    ``messages`` has tree string, node long, parent long (null or unknown: a root), score double; (tree, node) must be unique. Paths
-    are enumerated by self-joins whose reach doubles: a path's rows so far are joined with each node's ancestor 1, 2, 4, ... steps
-    up, so a path of n messages takes log2(n) joins. Branches are ranked by the sum of their messages' scores (null counts 0), ties
-    to the smaller leaf, and the first ``best`` of each tree stay.
+    ``messages`` has tree string, node long, parent long (null or unknown: a root), score double; (tree, node) must be unique. Branches
+    are ranked by the sum of their messages' scores (null counts 0), ties to the smaller leaf, and the first ``best`` of each tree stay.
+
+    1. Self-joins whose reach doubles: each message's total of the messages up to its ancestor 1, 2, 4, ... steps up is joined with that
+       ancestor's own, a row a message each time, until all have reached their roots. So a chain of n messages takes log2(n) joins.
+    2. Leaves are ranked by their totals. No path is written before that, so no more paths are than stay.
+    3. From the leaves that stay, the same ancestors, the furthest first, give all rows of their paths.
 
     Returns tree, branch (from 1), leaf, node, depth (0 at the root). Messages on a reply cycle, or below one, are on no
-    root-to-leaf path and are left out. No messages give no rows.
+    root-to-leaf path and are left out. No messages give no rows; other columns are not read.
     """
     up = messages.select("tree", F.col("node").alias("parent"), F.lit(1).alias("known"))
     linked = messages.join(up, ["tree", "parent"], "left")
     linked = linked.select("tree", "node", F.when(F.col("known") == 1, F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).alias("score"))
     linked = stage(linked, "linked")
+    # over: the message that is not yet in the total, null once the root is in it; length: of messages in the total
+    now = stage(linked.select("tree", "node", F.col("parent").alias("over"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length")), "reach")
+    reaches, most = [now], linked.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    while 2 ** (len(reaches) - 1) < most and not now.where("over is not null").isEmpty():
+        further = now.select("tree", F.col("node").alias("over"), F.col("over").alias("beyond"), F.col("total").alias("more"), F.col("length").alias("steps"))
+        open_ = now.where("over is not null").join(further, ["tree", "over"])
+        open_ = open_.select("tree", "node", F.col("beyond").alias("over"), (F.col("total") + F.col("more")).alias("total"), (F.col("length") + F.col("steps")).alias("length"))
+        now = stage(open_.unionByName(now.where("over is null")), "reach")
+        reaches.append(now)
     inner = linked.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
-    path = linked.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    jump = linked.where("parent is not null").select("tree", "node", F.col("parent").alias("over"))
-    path, jump, step = stage(path, "path"), stage(jump, "jump"), 1
-    most = linked.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while step < 2 * most and not jump.isEmpty():
-        more = path.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("over").alias("node"), (F.col("up") + step).alias("up"))
-        far = jump.select("tree", F.col("node").alias("start"), F.col("over").alias("node")).join(jump, ["tree", "node"])
+    leaves = now.where("over is null").join(inner, ["tree", "node"], "left_anti")
+    order = W.partitionBy("tree").orderBy(F.desc("total"), "node")
+    chosen = leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= best)
+    path = stage(chosen.select("tree", "branch", F.col("node").alias("leaf"), "node", (F.col("length") - 1).alias("depth")), "path")
+    # in round k the messages that are 2 ** k or more apart get the one 2 ** k steps up: no row twice
+    for k in range(len(reaches) - 1, -1, -1):
+        jumps = reaches[k].where("over is not null").select("tree", "node", "over")
+        more = path.join(jumps, ["tree", "node"]).select("tree", "branch", "leaf", F.col("over").alias("node"), (F.col("depth") - 2**k).alias("depth"))
         path = stage(path.unionByName(more), "path")
-        jump, step = stage(far.select("tree", F.col("start").alias("node"), "over"), "jump"), step * 2
-    scored = path.join(linked.select("tree", "node", "score", F.col("parent").isNull().alias("root")), ["tree", "node"])
-    branches = scored.groupBy("tree", "leaf").agg(
-        F.sum("score").alias("total"), F.max("root").alias("whole"), F.max("up").alias("length"), F.max(F.when(F.col("root"), F.col("up"))).alias("top")
-    )
-    order = W.partitionBy("tree").orderBy(F.desc("total"), "leaf")
-    kept = branches.where("whole").withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= best)
-    return path.join(kept, ["tree", "leaf"]).select("tree", "branch", "leaf", "node", (F.col("top") - F.col("up")).alias("depth"))
+    return path
 
 
 def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
     """One conversation per path: tree, branch, formatted, loss array<struct<start, size>> (code points of ``formatted``, from 0).
 
     ``messages`` has tree, node, role, text. A turn is ``<|turn|>`` role ``<|text|>`` text ``<|end|>``, role and text escaped, null as
-    empty. The loss mask covers the text of each assistant turn, without its markers.
+    empty. The loss mask covers the text of each assistant turn, without its markers. A path of messages that are not there has no row;
+    no paths give no rows. Other columns are not read.
     """
     said = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("body"))
     turns = paths.join(said, ["tree", "node"])

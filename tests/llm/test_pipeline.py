@@ -61,6 +61,37 @@ def test_stages(spark, sf_dir, tmp_path):
     assert all(abs(taken[s] - targets[s]) <= longest / 2 + 1e-6 for s in sizes)
 
 
+CLASH = "_id long, n_removed string, target double, size int, copies string, taken long, _id_score double, others string, row int, lang_pred string, mark long"
+
+
+def test_run_and_columns_of_any_name(spark, sf_dir, tmp_path):
+    """All stages in a row, on documents with columns of the names that operators use, odd rows among them: as stage by stage, and columns kept."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 80")
+    odd = [(None, "Some words of no id, said in a plain way and for no reason at all.", "en", None, 3), (None, None, None, None, None), (2000, "", "en", "s", 0), (2001, None, None, None, None)]
+    docs = docs.unionByName(spark.createDataFrame(odd + [odd[0]], docs.schema))
+    extra = [f"cast({n} as {t}) as {name}" for n, (name, t) in enumerate(x.split() for x in CLASH.split(", "))]
+    wide = docs.selectExpr("*", *extra)
+    for name, df in (("plain", docs), ("wide", wide)):
+        df.coalesce(1).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    plain = P.run(spark, str(tmp_path / "plain")).collect()
+    got = P.run(spark, str(tmp_path / "wide")).collect()
+    named = ("doc_id", "text", "source", "n_chars", "copies", "size", "target", "taken")
+    assert sorted(repr([r[c] for c in named]) for r in got) == sorted(repr([r[c] for c in named]) for r in plain) and len(got) > 20
+    kept = [x.split()[0] for x in CLASH.split(", ")]
+    assert set(kept) <= set(got[0].__fields__) and len(got[0].__fields__) == len(set(got[0].__fields__))
+    assert all(r._id == 0 and r.n_removed == "1" and r._id_score == 6 and r.others == "7" and r.mark == 10 for r in got)
+    step = stage(wide, "wide")
+    for name, f in P.STAGES[:-1]:
+        step = stage(f(spark, step, str(tmp_path / "wide")), name)
+        assert step.columns == wide.columns and step.where("n_removed <> '1' or target <> 2 or size <> 3").isEmpty()
+    assert step.where("doc_id is null").count() == 2 or step.where("doc_id is null").count() == 0
+    empty = tmp_path / "empty"
+    wide.limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(0).write.parquet(str(empty / "benchmark.parquet"))
+    assert P.run(spark, str(empty)).count() == 0
+
+
 def test_the_mix_is_of_rows_whatever_their_ids(spark, sf_dir):
     """Null ids, ids that texts and sources share, and repeated rows: each row has its own size and its source's target."""
     rows = [(None, f"n{i} " * (1 + i % 7), "en", "ab"[i % 2], i) for i in range(40)] + [(i % 5, f"s{i} " * (1 + i % 11), "en", "abc"[i % 3], i) for i in range(60)]

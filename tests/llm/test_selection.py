@@ -57,6 +57,31 @@ def test_inclusion_follows_appeal(spark):
     assert share[1] / share[0] == pytest.approx(2, rel=0.1) and share[0] + share[1] == pytest.approx(2, abs=0.01)
 
 
+def test_what_a_bound_takes_is_reshared(spark):
+    """Appeals so unequal that some documents reach the bound: expected copies add up to the target, by appeal among the others."""
+    rng = np.random.default_rng(8)
+    size, appeal = rng.integers(1, 30, 3000), rng.choice([0.2, 1.0, 3.0, 40.0], 3000, p=[0.3, 0.4, 0.2, 0.1])
+    rows = [(i, "w " * int(size[i]), "ab"[i % 2], float(appeal[i]), None) for i in range(3000)] + [(5000, None, None, None, 1), (5001, "w", "z", -1.0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, appeal double, pull int")
+    got = {r.doc_id: r for r in mixing.pareto_mix(df, appeal_col="appeal", max_copies=3).collect()}
+    for source in "ab":
+        own = [r for r in got.values() if r.source == source]
+        ids = np.array([r.doc_id for r in own])
+        target, s, a = own[0].target, size[ids].astype(float), appeal[ids]
+        low, high = 0.0, 1e6  # the rate whose bounded shares make the target
+        for _ in range(200):
+            c = (low + high) / 2
+            low, high = (c, high) if (s * np.minimum(3, c * a)).sum() < target else (low, c)
+        want = np.minimum(3, low * a)
+        assert (want == 3).any() and abs((s * want).sum() - target) < 1e-3
+        copies = np.array([r.copies for r in own])
+        assert abs((s * copies).sum() - target) <= s.max()
+        for x in np.unique(a):
+            assert copies[a == x].mean() == pytest.approx(want[a == x][0], abs=0.1)
+        assert ((copies >= np.floor(want - 1e-9)) & (copies <= np.ceil(want + 1e-9))).all()
+    assert got[5001].copies == 0 == got[5000].copies
+
+
 def test_pareto_order_includes_as_asked():
     """With unequal odds the order's fixed-size samples hit the asked probabilities closely."""
     rng = np.random.default_rng(2)
@@ -188,7 +213,10 @@ def test_contained_items_are_those_of_all_windows(spark, monkeypatch, seed, smal
         got.setdefault(r.id, set()).add(r.item)
     want = {i: f for i, t in docs if (f := plain_contained(t, items, 5, share))}
     assert got == want and len(want) > 5
-    kept = {r.doc_id for r in decontaminate.drop_containing(df, bench, share=share).collect()}
+    clash = df.withColumnRenamed("n", "_id").withColumn("_Hash", F.lit("x"))
+    left = decontaminate.drop_containing(clash, bench, share=share)
+    kept = {r.doc_id for r in left.collect()}
+    assert left.columns == clash.columns
     assert kept == {i for i, _ in docs} - set(want)
 
 
@@ -206,6 +234,55 @@ def test_branches(spark):
     assert {r.leaf for r in chat.reply_paths(df).collect()} == {4, 7}
 
 
+def plain_branches(rows, best):
+    """Each tree's best root-to-leaf paths, by walking up from each leaf."""
+    parent = {(t, n): p for t, n, p, _ in rows}
+    score = {(t, n): x or 0.0 for t, n, _, x in rows}
+    inner = {(t, p) for t, n, p, _ in rows if (t, p) in parent}
+    found = {}
+    for t, n, _, _ in rows:
+        if (t, n) in inner:
+            continue
+        path, at = [], n
+        while (t, at) in parent and at not in path:
+            path.append(at)
+            at = parent[t, at]
+        if (t, at) not in parent or at is None:
+            found.setdefault(t, []).append((-sum(score[t, x] for x in path), n, path[::-1]))
+    return {(t, k + 1): p for t, own in found.items() for k, (_, _, p) in enumerate(sorted(own)[:best])}
+
+
+@pytest.mark.parametrize("best", [1, 3])
+def test_branches_are_those_of_all_walks(spark, best):
+    rng, rows = random.Random(best), []
+    for t in range(40):
+        n = rng.choice([1, 2, 5, 17, 60])
+        for i in range(n):
+            up = rng.choice([None, 1000 + i]) if rng.random() < 0.05 or i == 0 else max(0, i - rng.choice([1, 1, 1, 2, 5])) if rng.random() < 0.8 else rng.randrange(i)
+            rows.append((f"t{t}", i, up, rng.choice([None, 0.0, 1.0, 2.0, -1.0])))
+    df = spark.createDataFrame([(*r, "x") for r in rows], "tree string, node long, parent long, score double, branch string").repartition(5)
+    got = {}
+    for r in sorted(chat.reply_paths(df, best=best).collect(), key=lambda r: (r.tree, r.branch, r.depth)):
+        assert r.depth == len(got.setdefault((r.tree, r.branch), []))
+        got[r.tree, r.branch].append(r.node)
+    assert got == plain_branches(rows, best) and sum(len(p) for p in got.values()) > 150
+
+
+def test_no_paths_are_written_before_ranking(spark, monkeypatch):
+    """A chain of 300 messages with a leaf each has 45,150 rows of paths; those written are a few for each message and the one that stays."""
+    rows = [("t", i, i - 1 if i else None, 1.0) for i in range(300)] + [("t", 1000 + i, i, 1.0) for i in range(300)]
+    written, stage = [], chat.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(chat, "stage", counted)
+    got = chat.reply_paths(spark.createDataFrame(rows, "tree string, node long, parent long, score double")).orderBy("depth").collect()
+    assert [r.node for r in got] == [*range(300), 1299] and max(written) <= 600
+
+
 def test_long_thread(spark):
     rows = [("t", i, i - 1 if i else None, 1.0) for i in range(70)]
     got = chat.reply_paths(spark.createDataFrame(rows, "tree string, node long, parent long, score double")).orderBy("depth").collect()
