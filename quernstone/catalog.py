@@ -329,8 +329,8 @@ def _index(spark: SparkSession, sf_dir: str) -> text.Index:
 
 
 INDEX = """d AS (SELECT doc_id, regexp_extract_all(lower(COALESCE(text, '')), '[а-яёa-z]+') AS w FROM documents), dl AS (SELECT doc_id, len(w)::BIGINT AS len FROM d),
-post AS (SELECT term, doc_id, count(*)::BIGINT AS cnt FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
-p AS (SELECT post.*, len, cnt / len AS tf FROM post JOIN dl USING (doc_id)), df AS (SELECT term, count(*)::BIGINT AS df FROM post GROUP BY term), n AS (SELECT count(*)::BIGINT AS n, avg(len) AS m FROM dl)"""
+post AS MATERIALIZED (SELECT term, doc_id, count(*)::BIGINT AS cnt FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+p AS MATERIALIZED (SELECT post.*, len, cnt / len AS tf FROM post JOIN dl USING (doc_id)), df AS (SELECT term, count(*)::BIGINT AS df FROM post GROUP BY term), n AS (SELECT count(*)::BIGINT AS n, avg(len) AS m FROM dl)"""
 
 
 def _terms(q: str) -> str:
@@ -353,8 +353,9 @@ def taat(spark, sf_dir):
 
 
 @query(
-    f"WITH {INDEX}, q(term, c) AS (VALUES {_terms(ASKED)}), r AS (SELECT doc_id, round(sum(tf), 6) AS score FROM p JOIN q USING (term) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10) "
-    "SELECT q.term, r.doc_id, round(COALESCE(tf, 0), 4) AS tf FROM q CROSS JOIN r LEFT JOIN p ON p.term = q.term AND p.doc_id = r.doc_id"
+    f"WITH {INDEX}, q(term, c) AS (VALUES {_terms(ASKED)}), pq AS MATERIALIZED (SELECT term, doc_id, tf FROM p JOIN q USING (term)), "
+    "r AS MATERIALIZED (SELECT doc_id, round(sum(tf), 6) AS score FROM pq GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10), "
+    "grid AS MATERIALIZED (SELECT q.term, r.doc_id FROM q CROSS JOIN r) SELECT grid.term, grid.doc_id, round(COALESCE(tf, 0), 4) AS tf FROM grid LEFT JOIN pq USING (term, doc_id)"
 )
 def term_matrix(spark, sf_dir):
     index = _index(spark, sf_dir)
@@ -362,9 +363,9 @@ def term_matrix(spark, sf_dir):
 
 
 WEIGHTS = """i AS (SELECT term, ln((n + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1.0::DOUBLE AS idf FROM df, n), x AS (SELECT term, doc_id, idf, tf * idf AS w FROM p JOIN i USING (term)),
-l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM x GROUP BY 1), tw AS (SELECT term, doc_id, idf, w / CASE WHEN l > 0 THEN l ELSE 1 END AS w FROM x JOIN l USING (doc_id))"""
+l AS MATERIALIZED (SELECT doc_id, sqrt(sum(w * w)) AS l FROM x GROUP BY 1), tw AS (SELECT term, doc_id, idf, w / CASE WHEN l > 0 THEN l ELSE 1 END AS w FROM x JOIN l USING (doc_id))"""
 QW = f"q(term, c) AS (VALUES {_terms(RARE)}), qr AS (SELECT term, c / (SELECT sum(c) FROM q) * idf AS w FROM q JOIN i USING (term)), qw AS (SELECT term, w / sqrt(sum(w * w) OVER ()) AS qw FROM qr)"
-TFIDF = f"WITH {INDEX}, {WEIGHTS}, {QW}, r AS (SELECT doc_id, round(sum(w * qw), 6) AS score FROM tw JOIN qw USING (term) GROUP BY 1 HAVING sum(w * qw) > 0 ORDER BY score DESC, doc_id LIMIT 10)"
+TFIDF = f"WITH {INDEX}, {WEIGHTS}, {QW}, tq AS MATERIALIZED (SELECT term, doc_id, tw.idf AS idf, w, qw FROM tw JOIN qw USING (term)), r AS MATERIALIZED (SELECT doc_id, round(sum(w * qw), 6) AS score FROM tq GROUP BY 1 HAVING sum(w * qw) > 0 ORDER BY score DESC, doc_id LIMIT 10)"
 
 
 @query(f"{TFIDF} SELECT * FROM r")
@@ -372,7 +373,7 @@ def tfidf(spark, sf_dir):
     return text.tfidf(_index(spark, sf_dir), RARE)
 
 
-@query(f"{TFIDF} SELECT q.term, r.doc_id, COALESCE(round(idf * w, 5), 0) AS contribution FROM q CROSS JOIN r LEFT JOIN tw ON tw.term = q.term AND tw.doc_id = r.doc_id")
+@query(f"{TFIDF}, grid AS MATERIALIZED (SELECT q.term, r.doc_id FROM q CROSS JOIN r) SELECT grid.term, grid.doc_id, COALESCE(round(idf * w, 5), 0) AS contribution FROM grid LEFT JOIN tq USING (term, doc_id)")
 def tfidf_contributions(spark, sf_dir):
     index = _index(spark, sf_dir)
     return text.tfidf_contributions(index, RARE, text.tfidf(index, RARE))
@@ -403,7 +404,7 @@ def posting_intersection(spark, sf_dir):
 @query()
 def lsa(spark, sf_dir):
     """Singular vectors have no fixed sign, so SQL can't give these scores; tests hold them against a dense decomposition."""
-    return text.Latent(table(spark, sf_dir, "documents"), k=20).search(RARE)
+    return text.Latent(table(spark, sf_dir, "documents")).search(RARE)
 
 
 @query()
@@ -425,12 +426,15 @@ def pca_scatter(spark, sf_dir):
 
 
 @query(
-    f"{BM25} SELECT r.doc_id, source AS title, source AS title_url, round(score, 4) AS score, 0.0::DOUBLE AS pagerank, length(text) AS n FROM r JOIN documents USING (doc_id)"
+    f"""{BM25}, t AS (SELECT doc_id, source || ' no' AS title, trim(regexp_replace(text, '[\\s\\x0B\\x85\\p{{Z}}]+', ' ', 'g')) AS t FROM documents)
+SELECT r.doc_id, title, replace(title, ' ', '_') AS title_url, round(score, 4) AS score, CASE WHEN r.doc_id % 2 = 0 THEN round(r.doc_id / 7.0::DOUBLE, 6) ELSE 0 END AS pagerank,
+  CASE WHEN length(t) <= 300 THEN t ELSE regexp_extract(substring(t, 1, 300), '^(.{{0,299}})\\s', 1) || '…' END AS snippet FROM r JOIN t USING (doc_id)"""
 )
 def enriched_results(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("title", F.col("source"))
-    shown = plan_search.enrich(text.bm25(_index(spark, sf_dir), RARE), docs)
-    return shown.join(docs.select("doc_id", F.length("text").cast("long").alias("n")), "doc_id").drop("snippet")
+    """Ranks are known of even ids only, so that the others get the default."""
+    docs = table(spark, sf_dir, "documents").withColumn("title", F.concat("source", F.lit(" no")))
+    ranks = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), (F.col("doc_id") / 7.0).alias("r"))
+    return plan_search.enrich(text.bm25(_index(spark, sf_dir), RARE), docs, ranks)
 
 
 @query(
@@ -441,6 +445,69 @@ def snippets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.snippet(F.col("text")).alias("s"))
 
 
+# --- what articles and listings become ---
+
+
+@query("SELECT doc_id, source || '. ' || substring(COALESCE(text, ''), 1, 512) AS vector_form, md5(source || '. ' || substring(COALESCE(text, ''), 1, 2000)) AS entity_form FROM documents")
+def article_forms(spark, sf_dir):
+    form = lambda n: X.article_form(F.col("source"), F.col("text"), n)
+    return table(spark, sf_dir, "documents").select("doc_id", form(512).alias("vector_form"), F.md5(form(2000)).alias("entity_form"))
+
+
+@query(
+    "SELECT doc_id AS id, substring(text, 1, 60) AS title, substring(text, 1, 5000) AS text FROM documents "
+    "WHERE contains(lower(substring(text, 1, 60)), 'the') OR contains(lower(substring(text, 1, 60)), 'sch') ORDER BY id LIMIT 100"
+)
+def corpus_filter(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("title", F.substring("text", 1, 60))
+    return relational.corpus(docs, ["the", "sch"], most=100, id_col="doc_id")
+
+
+@query(
+    """WITH v AS (SELECT (vec_id % 300 + 1)::VARCHAR AS id, vec_id, embedding FROM embeddings), last AS (SELECT id, arg_max(embedding, vec_id) AS e FROM v GROUP BY id)
+SELECT p_partkey::VARCHAR AS listing_id, substring('  ' || repeat(p_name || ' ', 20), 1, 200) AS name, substring(repeat(p_type || ' ', 60), 1, 500) AS description, p_brand AS city,
+  CASE WHEN p_size % 4 = 0 THEN 0 ELSE round(p_retailprice, 2) END AS price, CASE WHEN p_size % 5 = 0 THEN 0 ELSE p_size END::INT AS bedrooms, CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size / 2.0::DOUBLE END AS bathrooms,
+  p_size::DOUBLE AS latitude, -p_size::DOUBLE AS longitude, e[1]::DOUBLE AS first FROM part JOIN last ON id = p_partkey::VARCHAR"""
+)
+def load_projection(spark, sf_dir):
+    listings = table(spark, sf_dir, "part").selectExpr(
+        "cast(p_partkey as string) as id", "concat('  ', repeat(concat(p_name, ' '), 20)) as name", "repeat(concat(p_type, ' '), 60) as description", "p_brand as city",
+        "case when p_size % 4 = 0 then '' else cast(round(p_retailprice, 2) as string) end as price", "case when p_size % 5 = 0 then null else cast(p_size as string) end as bedrooms",
+        "case when p_size % 3 = 0 then ' ' else cast(p_size / 2.0 as string) end as bathrooms", "cast(p_size as string) as latitude", "cast(-p_size as string) as longitude",
+    )
+    vectors = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 300 + 1).cast("string").alias("id"), "embedding", F.col("vec_id").alias("n"))
+    return relational.load_rows(listings, vectors).withColumn("first", F.col("embedding")[0].cast("double")).drop("embedding")
+
+
+@query(
+    """SELECT p_partkey AS id, p_size::DOUBLE AS lat, p_size / 2.0::DOUBLE AS lon, substring(repeat(p_name || ' ', 9), 1, 60) AS name, p_brand AS city, p_size % 7 AS price
+FROM part WHERE p_partkey % 13 <> 0 ORDER BY md5('42:' || p_partkey::VARCHAR), p_partkey LIMIT 150"""
+)
+def map_sample(spark, sf_dir):
+    listings = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey as id", "case when p_partkey % 13 = 0 then 'n/a' else cast(p_size as string) end as latitude", "cast(p_size / 2.0 as string) as longitude",
+        "repeat(concat(p_name, ' '), 9) as name", "p_brand as city", "p_size % 7 as price",
+    )
+    return relational.map_sample(listings, n=150)
+
+
+KINDS = "CASE WHEN length(x) >= 8 THEN 'N' WHEN regexp_matches(x, '^[A-Z]') THEN 'N' WHEN x LIKE '%e' THEN 'A' ELSE '-' END"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(substring(text, 1, 2000), '[A-Za-z]+'), lambda x: chr(1) || {KINDS} || chr(2) || x), '') AS s FROM documents),
+r AS (SELECT doc_id, unnest(regexp_extract_all(s, '\x01N\x02[^\x01]*(?:\x01[NA]\x02[^\x01]*)+')) AS r FROM s),
+p AS (SELECT DISTINCT doc_id, lower(trim(regexp_replace(r, '\x01[NA]\x02', ' ', 'g'))) AS phrase FROM r)
+SELECT doc_id, phrase FROM p WHERE length(phrase) > 4 AND length(phrase) < 60"""
+)
+def noun_phrases(spark, sf_dir):
+    """Phrases of words whose kinds are told by a plain rule, in place of a tagger's."""
+    kind = lambda x: F.when(F.length(x) >= 8, "NOUN").when(x.rlike("^[A-Z]"), "PROPN").when(F.endswith(x, F.lit("e")), "ADJ").otherwise("X")
+    words = F.regexp_extract_all(F.substring("text", 1, 2000), F.lit("[A-Za-z]+"), F.lit(0))
+    tagged = F.transform(words, lambda x: F.struct(x.alias("lemma"), kind(x).alias("pos")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(graph.noun_phrases(tagged)).alias("phrase"))
+
+
 # --- graphs; suppliers of common orders, and documents of common entities ---
 
 
@@ -499,17 +566,23 @@ def pagerank(spark, sf_dir):
     return graph.pagerank(nodes, edges).select("id", F.round("r", 9).alias("r"))
 
 
+@query(f"WITH {SUPPLIERS}, {rank_sql(EVEN, BY_DEGREE, 20, '1e-6')} ORDER BY r DESC, id LIMIT 10")
+def top_ranks(spark, sf_dir):
+    nodes, edges = supplier_graph(spark, sf_dir)
+    return graph.top_ranks(graph.pagerank(nodes, edges).select("id", F.round("r", 9).alias("r")))
+
+
 @query(f"WITH {SUPPLIERS}, {rank_sql(EVEN, BY_DEGREE, 20, '1e-6 * (SELECT count(*) FROM supplier)')}")
 def pagerank_supersteps(spark, sf_dir):
     nodes, edges = supplier_graph(spark, sf_dir)
     return graph.pagerank_supersteps(nodes, edges).select("id", F.round("r", 9).alias("r"))
 
 
-@query(f"WITH {SUPPLIERS}, {rank_sql(SEEDED, BY_WEIGHT, 20, '1e-6')}")
+@query(f"WITH {SUPPLIERS}, {rank_sql(SEEDED, BY_WEIGHT, 50, '1e-6')}")
 def personalized_pagerank(spark, sf_dir):
     nodes, edges = supplier_graph(spark, sf_dir)
     seeds = table(spark, sf_dir, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("id"), F.lit(1.0).alias("weight"))
-    return graph.personalized_pagerank(nodes, edges, seeds, most=20).select("id", F.round("r", 9).alias("r"))
+    return graph.personalized_pagerank(nodes, edges, seeds).select("id", F.round("r", 9).alias("r"))
 
 
 @query(f"WITH {SUPPLIERS} SELECT src, sum(w)::BIGINT AS out_w, count(*) AS degree FROM e GROUP BY src")
@@ -524,14 +597,16 @@ def ppr_search(spark, sf_dir):
     found = stage(graph.regex_entities(docs, pattern="[A-Z][a-z]{6,}"), "entities")
     edges = stage(graph.cooccurrence(found), "edges")
     first = [r[0] for r in found.groupBy("entity").count().where("count between 2 and 50").orderBy(F.desc("count"), "entity").limit(2).select("entity").collect()]
-    return graph.ppr_search(found, docs.select(F.col("doc_id").alias("id")), edges, first, first, most=10)
+    return graph.ppr_search(found, docs.select(F.col("doc_id").alias("id")), edges, first, first)
 
 
 @query(
     f"""WITH {SUPPLIERS}, res AS (SELECT s_suppkey AS id, s_acctbal AS score FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 10),
-nb AS (SELECT dst AS id, 1 AS tier FROM (SELECT e.*, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM e JOIN res ON res.id = src) WHERE k <= 5),
-ids AS (SELECT id, min(tier) AS tier FROM (SELECT id, 0 AS tier FROM res UNION ALL SELECT * FROM nb) GROUP BY id ORDER BY tier, id LIMIT 40)
-SELECT id, COALESCE(score, 0) AS score, round(COALESCE(score, 0) / (SELECT max(score) FROM res), 4) AS norm_score,
+rk AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM res),
+nb AS (SELECT src, dst, rank, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM e JOIN rk ON rk.id = src),
+ad AS (SELECT dst AS id, min(rank * 100 + k) AS seat FROM nb WHERE k <= 5 AND dst NOT IN (SELECT id FROM res) GROUP BY dst),
+ids AS (SELECT id, 0 AS tier FROM res UNION ALL SELECT id, 1 FROM (SELECT id, row_number() OVER (ORDER BY seat, id) AS p FROM ad) WHERE p <= 40 - (SELECT count(*) FROM res))
+SELECT id, round(COALESCE(score, 0), 6) AS score, round(COALESCE(score, 0) / (SELECT max(score) FROM res), 3) AS norm_score,
   CASE WHEN s_nationkey = 3 AND tier = 0 THEN 'seed_result' WHEN s_nationkey = 3 THEN 'seed' WHEN tier = 0 THEN 'result' ELSE 'neighbor' END AS role
 FROM ids LEFT JOIN res USING (id) JOIN supplier ON s_suppkey = id"""
 )
@@ -544,8 +619,10 @@ def subgraph_nodes(spark, sf_dir):
 
 @query(
     f"""WITH {SUPPLIERS}, res AS (SELECT s_suppkey AS id, s_acctbal AS score FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 10),
-nb AS (SELECT dst AS id, 1 AS tier FROM (SELECT e.*, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM e JOIN res ON res.id = src) WHERE k <= 5),
-ids AS (SELECT id, min(tier) AS tier FROM (SELECT id, 0 AS tier FROM res UNION ALL SELECT * FROM nb) GROUP BY id ORDER BY tier, id LIMIT 40)
+rk AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM res),
+nb AS (SELECT src, dst, rank, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM e JOIN rk ON rk.id = src),
+ad AS (SELECT dst AS id, min(rank * 100 + k) AS seat FROM nb WHERE k <= 5 AND dst NOT IN (SELECT id FROM res) GROUP BY dst),
+ids AS (SELECT id, 0 AS tier FROM res UNION ALL SELECT id, 1 FROM (SELECT id, row_number() OVER (ORDER BY seat, id) AS p FROM ad) WHERE p <= 40 - (SELECT count(*) FROM res))
 SELECT src, dst, w FROM e WHERE src IN (SELECT id FROM ids) AND dst IN (SELECT id FROM ids)"""
 )
 def subgraph_edges(spark, sf_dir):
@@ -598,7 +675,7 @@ def ivf_recall(spark, sf_dir):
     """Recall of the cell index against the exact search; an index has no SQL."""
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 20 = 0")
-    return relational.recall(vector.batch_knn(rows, asked), vector.IvfIndex(rows, cells=16).search(asked, 10, probes=12))
+    return relational.recall(vector.batch_knn(rows, asked), vector.search(rows, asked, 10, ("ivf",))["ivf"][0])
 
 
 @query()
@@ -669,10 +746,19 @@ def generated_least_squares(spark, sf_dir):
     return linalg.least_squares(linalg.generated_rows(spark, 2000, lambda i: linalg.seeded_row(i, 8, truth)), 8)
 
 
-@query(f"WITH {COO} SELECT 0.0::DOUBLE AS max_abs_diff, true AS all_close")
+@query(
+    f"""WITH {COO}, g AS MATERIALIZED (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY ALL),
+c AS (SELECT 'blocks' AS pair, x.v, y.v AS w FROM g x JOIN g y ON x.i = y.j AND x.j = y.i UNION ALL SELECT 'rounded', v, round(v, 2) FROM g)
+SELECT pair, round(max(abs(v - w)), 6) AS max_abs_diff, bool_and(abs(v - w) <= 1e-8 + 1e-5 * abs(w)) AS all_close FROM c GROUP BY pair"""
+)
 def all_close(spark, sf_dir):
-    a = matrix(spark, sf_dir, "i")
-    return relational.close(a, linalg.transpose(matrix(spark, sf_dir, "j")), ["i", "j"])
+    """The product of a matrix with itself, computed in blocks and as a Gram matrix; and the latter against its cells rounded to 2 digits."""
+    rows = table(spark, sf_dir, "embeddings").select(X.doubles(F.col("embedding")).alias("a"), F.col("label").cast("double").alias("y"))
+    gram = stage(linalg.gram(rows)[0], "gram")
+    blocks = linalg.matmul_blocks(matrix(spark, sf_dir, "j"), matrix(spark, sf_dir, "i"), 64)
+    pairs = {"blocks": (blocks, gram), "rounded": (gram, gram.withColumn("v", F.round("v", 2)))}
+    first, second = (relational.close(a, b, ["i", "j"]).select(F.lit(name).alias("pair"), F.round("max_abs_diff", 6).alias("max_abs_diff"), "all_close") for name, (a, b) in pairs.items())
+    return first.unionByName(second)
 
 
 # --- stream ---

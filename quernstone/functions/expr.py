@@ -124,6 +124,16 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / F.when(size > 0, size).otherwise(1.0))
 
 
+def article_form(title: Column, text: Column, size: int) -> Column:
+    """What an article's vector (512 characters of text) and entities (2,000) are made from: title, a full stop, the text's beginning."""
+    return F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.substring(F.coalesce(text, F.lit("")), 1, size))
+
+
+def or_zero(text: Column, kind: str = "double") -> Column:
+    """An empty or missing number as 0; one that is no number is null."""
+    return F.when(F.coalesce(F.trim(text.cast("string")), F.lit("")) == "", F.lit(0).cast(kind)).otherwise(text.try_cast(kind))
+
+
 def listing_url(listing: Column, base: str = "https://example.com/rooms/") -> Column:
     """The address of a listing's page."""
     return F.concat(F.lit(base), listing.cast("string"))

@@ -120,3 +120,8 @@ def run(operation: str, *args):
     if operation not in OPERATIONS:
         raise ValueError(f"unknown operation: {operation}")
     return OPERATIONS[operation](*args)
+
+
+def dense_fits(n: int, most: int = 15_000) -> bool:
+    """Whether an n x n check in one machine's memory is made at all: three matrices of 8-byte numbers, 5.4 GB at 15,000."""
+    return 0 < n <= most

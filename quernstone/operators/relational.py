@@ -146,6 +146,38 @@ def keyword_filter(rows: DataFrame, column: str, stems: Sequence[str]) -> DataFr
     return rows.where(fits)
 
 
+def corpus(articles: DataFrame, stems: Sequence[str], *, size: int = 5000, most: int | None = None, id_col: str = "id", title_col: str = "title", text_col: str = "text") -> DataFrame:
+    """id, title, text of articles whose title holds a stem; texts are cut to ``size`` characters. ``most`` keeps the first by id, as a limit that is asked for."""
+    fits = keyword_filter(articles, title_col, stems)
+    out = fits.select(F.col(id_col).alias("id"), F.col(title_col).alias("title"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, size).alias("text"))
+    return out.orderBy("id").limit(most) if most is not None else out
+
+
+def load_rows(listings: DataFrame, vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """What a vector store is loaded with: listings that have a vector (the last of an id), names cut to 200 and descriptions to 500 characters,
+    empty numbers as 0. ``vectors`` has id, vector and n, which orders those of one id."""
+    joined = join_last(listings, vectors, id_col, "n")
+    return joined.select(
+        F.col(id_col).alias("listing_id"),
+        F.substring("name", 1, 200).alias("name"),
+        F.substring("description", 1, 500).alias("description"),
+        "city",
+        X.or_zero(F.col("price")).alias("price"),
+        X.or_zero(F.col("bedrooms"), "int").alias("bedrooms"),
+        X.or_zero(F.col("bathrooms")).alias("bathrooms"),
+        F.col("latitude").try_cast("double").alias("latitude"),
+        F.col("longitude").try_cast("double").alias("longitude"),
+        vector_col,
+    )
+
+
+def map_sample(listings: DataFrame, key: str = "id", n: int = 2000, seed: int = 42) -> DataFrame:
+    """lat, lon, name (60 characters), city, price of a seeded sample of the listings whose coordinates are numbers."""
+    placed = listings.withColumns({"lat": F.col("latitude").try_cast("double"), "lon": F.col("longitude").try_cast("double")})
+    chosen = sample(placed.where("lat is not null and lon is not null"), key, n, seed)
+    return chosen.select(key, "lat", "lon", F.substring("name", 1, 60).alias("name"), "city", "price")
+
+
 def undirected(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """Each pair of ends once, the smaller first, without loops."""
     return edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias(a), F.greatest(a, b).alias(b)).distinct()

@@ -97,6 +97,34 @@ def to_json_array(rows: DataFrame) -> DataFrame:
     return rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct("*")))).alias("json"))
 
 
+def update_timings(spark: SparkSession, path: str, new: dict) -> dict:
+    """Read a timing document (one that is missing or broken counts as empty), merge ``new`` into it, and write it again in whole."""
+    import json
+
+    old: dict = {}
+    if exists(spark, path):
+        try:
+            read = json.loads(spark.read.text(path, wholetext=True).first()[0])
+            old = read if isinstance(read, dict) else {}
+        except (ValueError, TypeError):
+            old = {}
+    merged = merge_timings(old, new)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(json.dumps(merged, indent=2).encode()))
+    out.close()
+    return merged
+
+
+def piped(rows: DataFrame, command: str, columns: Sequence[str], sep: str = "\t") -> DataFrame:
+    """Rows as lines of text through an external program, one for each partition, and its lines back as string columns; lines of another
+    number of fields are dropped. The one place for a script of one's own; what built-in expressions say should be said with them."""
+    lines = rows.select(F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns)).alias("value"))
+    back = rows.sparkSession.createDataFrame(lines.rdd.map(lambda x: x.value).pipe(command).map(lambda x: (x,)), "value string")
+    parts = F.split("value", sep.replace("|", "\\|"), -1)
+    return back.where(F.size(parts) == len(columns)).select(*(parts[i].alias(c) for i, c in enumerate(columns)))
+
+
 def merge_timings(old: dict, new: dict) -> dict:
     """An updated timing document."""
     return {**old, **new}
