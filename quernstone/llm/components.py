@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import stage
+from ..staging import stage, unstage
 
 
 def _sum(df: DataFrame) -> tuple:
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = stage(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        now = stage(small.distinct(), "small")
+        before, now = now, stage(small.distinct(), "small")
+        unstage(before, large)
         if (got := _sum(now)) == seen:
             break
         seen = got

@@ -73,15 +73,14 @@ def item_hits(
     prefix = stage(prefix.join(wins, "win_id").drop("win_id"), "prefix")
     if few:
         near = source.select("id", "text_hash", "w", F.size("w").alias("n"), F.posexplode("w").alias("at", "word"))
-        near = near.join(F.broadcast(prefix), "word").withColumn("shift", F.lit(0))
-    else:  # the words around each token travel instead of the whole document
-        near = source.select("id", "text_hash", F.size("w").alias("n"), F.posexplode("w").alias("at", "word"), "w")
-        shift = F.greatest(F.col("at") - (window - 1), F.lit(0))
-        near = near.select("id", "text_hash", "n", "at", "word", shift.alias("shift"), F.slice("w", shift + 1, F.lit(2 * window - 1)).alias("w"))
-        near = near.join(prefix, "word")
+        near = near.join(F.broadcast(prefix), "word")
+    else:  # only keys and places travel, and the texts of those that met are joined again
+        met = source.select("id", "text_hash", F.posexplode("w").alias("at", "word")).join(prefix, "word").withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
+        once = source.dropDuplicates(["id", "text_hash"]).withColumn("n", F.size("w"))
+        near = once.join(met, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     start = F.col("at") - F.col("offset")
     inside = (start >= 0) & (start + F.col("size") <= F.col("n"))
-    same = F.slice("w", F.greatest(start - F.col("shift"), F.lit(0)) + 1, F.col("size")) == F.col("win")
+    same = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("size")) == F.col("win")
     return near.where(inside).where(same).select("id", "text_hash", start.alias("start"), "size", "items")
 
 
