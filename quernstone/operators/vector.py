@@ -45,7 +45,8 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: st
         if not own:
             break
         last = own[-1]["id"]
-        parts.append(rows.mapInPandas(_scorer([r["id"] for r in own], np.array([r["v"] for r in own]), k, digits), "query_id long, vec_id long, score double"))
+        part = rows.mapInPandas(_scorer([r["id"] for r in own], np.array([r["v"] for r in own]), k, digits), "query_id long, vec_id long, score double")
+        parts.append(stage(part, "batch") if parts or len(own) == BATCH else part)  # of many batches, each is its own small table, not a scan of one plan
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     found = parts[0]
@@ -124,6 +125,98 @@ class IvfIndex:
         return rank_within(pairs.select("query_id", "vec_id", F.round(X.dot(F.col("v"), F.col("q")), 6).alias("score")), k)
 
 
+class SketchIndex:
+    """Vectors with sketches of ``bits`` signs of random projections, an eighth of the vectors' bytes; a search compares sketches with all rows and
+    ranks exactly only the nearest ``share`` of them.
+
+    Unlike cells, this prunes vectors without clusters too. How near a sketch must be is found for each query from the counts of all distances,
+    so the share is of the whole table. Null vectors take no part; all must be of one length. No vectors give no results.
+    """
+
+    def __init__(self, vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 256, seed: int = 5):
+        rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), X.doubles(F.col(vector_col)).alias("v")).where("vec_id is not null and v is not null")
+        first = rows.select(F.size("v")).first()
+        size, rng = (first[0] if first else 1), np.random.default_rng(seed)
+        # blocks of projections at right angles tell more than independent ones
+        self.planes = np.hstack([np.linalg.qr(rng.standard_normal((size, size)))[0] for _ in range(-(-bits // size))])[:, :bits]
+        planes = self.planes
+
+        def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    unit = _units(np.stack(batch["v"].to_numpy()))
+                    yield pd.DataFrame({"vec_id": batch["vec_id"], "v": list(unit), "code": [x.tobytes() for x in np.packbits(unit @ planes > 0, axis=1)]})
+
+        self.rows = stage(rows.mapInPandas(sketch, "vec_id long, v array<double>, code binary"), "sketches")
+        self.n = self.rows.count()
+
+    def search(self, queries: DataFrame, k: int = 10, share: float = 0.15, *, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
+        """query_id, vec_id, score, rank: the ``k`` nearest other ids among the ``share`` of rows with the nearest sketches (ties included)."""
+        asked = queries.select(F.col(id_col).cast("long").alias("id"), X.doubles(F.col(vector_col)).alias("v")).where("id is not null and v is not null")
+        parts, last = [], None
+        while self.n:
+            own = (asked if last is None else asked.where(F.col("id") > last)).orderBy("id").limit(BATCH).collect()
+            if not own:
+                break
+            last = own[-1]["id"]
+            ids, unit = np.array([r["id"] for r in own]), _units(np.array([r["v"] for r in own]))
+            codes = np.packbits(unit @ self.planes > 0, axis=1)
+            seen = np.zeros((len(own), self.planes.shape[1] + 1), np.int64)
+            counted = self.rows.select("code").mapInPandas(_distances(codes), "query int, apart int, n long").groupBy("query", "apart").agg(F.sum("n"))
+            for query, apart, n in counted.collect():
+                seen[query, apart] = n
+            reach = (np.cumsum(seen, axis=1) >= max(k + 1, share * self.n)).argmax(axis=1)
+            parts.append(stage(self.rows.mapInPandas(_near(ids, unit, codes, reach, k, digits), "query_id long, vec_id long, score double"), "near"))
+        found = parts[0] if parts else queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+        for part in parts[1:]:
+            found = found.unionByName(part)
+        return rank_within(found, k)
+
+
+def _apart(codes: np.ndarray, batch: pd.DataFrame) -> np.ndarray:
+    """How many signs differ: queries x rows."""
+    own = np.frombuffer(b"".join(batch["code"]), np.uint8).reshape(len(batch), -1)
+    out = np.zeros((len(codes), len(own)), np.int32)
+    for j in range(own.shape[1]):
+        out += np.bitwise_count(codes[:, j, None] ^ own[None, :, j])
+    return out
+
+
+def _distances(codes: np.ndarray) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        width = codes.shape[1] * 8 + 1
+        seen = np.zeros(len(codes) * width, np.int64)
+        for whole in batches:
+            for a in range(0, len(whole), 2000):
+                apart = _apart(codes, whole.iloc[a : a + 2000])
+                seen += np.bincount((apart + width * np.arange(len(codes))[:, None]).ravel(), minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"query": (at // width).astype(np.int32), "apart": (at % width).astype(np.int32), "n": seen[at]})
+
+    return run
+
+
+def _near(ids: np.ndarray, unit: np.ndarray, codes: np.ndarray, reach: np.ndarray, k: int, digits: int) -> Callable:
+    """Each query's k best of a task's rows whose sketches are within its reach, ranked by the vectors of those alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for whole in batches:
+            for a in range(0, len(whole), 2000):
+                batch = whole.iloc[a : a + 2000]
+                own = batch["vec_id"].to_numpy()
+                q, c = np.nonzero((_apart(codes, batch) <= reach[:, None]) & (ids[:, None] != own[None, :]))
+                vectors = np.stack(batch["v"].to_numpy())
+                scores = np.concatenate([np.einsum("ij,ij->i", unit[q[b : b + 65536]], vectors[c[b : b + 65536]]) for b in range(0, len(q), 65536)] or [np.zeros(0)])
+                new = pd.DataFrame({"query_id": ids[q], "vec_id": own[c], "score": np.round(scores, digits)})
+                best = new if best is None else pd.concat([best, new])
+                best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+        if best is not None:
+            yield best
+
+    return run
+
+
 def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8, width: float = 0.5, reach: float = 1.4) -> DataFrame:
     """Approximate neighbours by random projections of unit vectors, ranked exactly. ``reach`` bounds the distance, so recall may be below 1."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), array_to_vector(X.unit(F.col(vector_col))).alias("f"))
@@ -134,10 +227,10 @@ def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, strategies: tuple[str, ...] = ("exact",), index: IvfIndex | None = None) -> dict[str, tuple[DataFrame, float]]:
-    """Results and seconds by strategy: exact, ivf, lsh. An unknown one raises ValueError."""
+    """Results and seconds by strategy: exact, ivf, lsh, sketch. An unknown one raises ValueError."""
     k, out = X.clamp(k), {}
     for name in strategies:
-        if name not in ("exact", "ivf", "lsh"):
+        if name not in ("exact", "ivf", "lsh", "sketch"):
             raise ValueError(f"unknown strategy: {name}")
         began = time.perf_counter()
         if name == "exact":
@@ -145,6 +238,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, strategies: tupl
         elif name == "ivf":
             index = index or IvfIndex(vectors)
             found = index.search(queries, k)
+        elif name == "sketch":
+            found = SketchIndex(vectors).search(queries, k)
         else:
             found = lsh_knn(vectors, queries, k)
         out[name] = (stage(found, name), time.perf_counter() - began)
