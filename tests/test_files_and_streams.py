@@ -74,3 +74,41 @@ def test_dense_numbers(spark):
     df = spark.createDataFrame([(x * 7 % 100,) for x in range(100)], "k int").repartition(6)
     got = files.numbered(df, "k").orderBy("k").collect()
     assert [r.row_id for r in got] == list(range(100))
+
+
+def test_timing_document_is_read_and_written(spark, tmp_path):
+    path = tmp_path / "timing.json"
+    assert files.update_timings(spark, str(path), {"spark_ms": 5}) == {"spark_ms": 5}
+    assert files.update_timings(spark, str(path), {"hive_ms": 7, "spark_ms": 6}) == {"hive_ms": 7, "spark_ms": 6}
+    path.write_text("{broken")
+    (tmp_path / ".timing.json.crc").unlink(missing_ok=True)
+    assert files.update_timings(spark, str(path), {"a": 1}) == {"a": 1}
+
+
+def test_piped_script(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None), (3, "a\tb")], "n int, t string").repartition(2)
+    got = files.piped(df, "tr a-z A-Z", ["n", "t"]).collect()
+    assert sorted(map(tuple, got)) == [("1", "X"), ("2", "")]
+
+
+def test_staged_tables_go_and_need_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from quernstone import staging
+
+    kept, gone = staging.stage(spark.range(3), "kept"), staging.stage(spark.range(4), "gone")
+    assert files.exists(spark, gone.staged_at)
+    staging.unstage(gone)
+    assert not files.exists(spark, gone.staged_at) and kept.count() == 3
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master="spark://somewhere:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_dir(far)
+
+
+def test_broadcasts_are_checked_by_bytes(spark, monkeypatch):
+    from quernstone import staging
+
+    df = staging.stage(spark.range(1000), "wide")
+    assert staging.is_small(df, 1000) and not staging.is_small(df, 999)
+    monkeypatch.setattr(staging, "SMALL_BYTES", 100)
+    assert not staging.is_small(df, 1000)

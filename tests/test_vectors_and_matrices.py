@@ -27,6 +27,60 @@ def test_index_recall(spark, sf_dir):
     assert relational.recall(truth, vector.lsh_knn(rows, asked, 10)).first().recall >= 0.9
 
 
+def test_sketches_prune_and_find(spark, sf_dir):
+    """Recall over 0.9 while under a quarter of the rows are ranked by their vectors; all of them if asked, exactly; ties and odd rows."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 20 = 0")
+    index, truth = vector.SketchIndex(rows), vector.batch_knn(rows, asked)
+    assert relational.recall(truth, index.search(asked, 10, share=0.2)).first().recall >= 0.9
+    whole = index.search(asked, 10, share=1.0)
+    assert sorted(map(tuple, whole.select(truth.columns).collect())) == sorted(map(tuple, truth.collect()))
+    odd = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(9)] + [(20, None), (None, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = vector.SketchIndex(odd).search(odd.where("vec_id = 3"), 4).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [0, 1, 2, 4]
+    assert vector.SketchIndex(odd.limit(0)).search(odd, 4).count() == 0 == vector.SketchIndex(odd).search(odd.limit(0), 4).count()
+
+
+def test_search_reaches_the_index_recall(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 20 = 0")
+    found = vector.search(rows, asked, 10, ("ivf",))["ivf"][0]
+    assert relational.recall(vector.batch_knn(rows, asked), found).first().recall >= 0.9
+
+
+def test_batches_are_one_search(spark, sf_dir, monkeypatch):
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 20 = 0")
+    whole = sorted(map(tuple, vector.batch_knn(rows, asked).collect()))
+    monkeypatch.setattr(vector, "BATCH", 7)
+    assert sorted(map(tuple, vector.batch_knn(rows, asked).collect())) == whole
+
+
+def test_latencies(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    got = vector.latencies(rows, rows, n=5)
+    assert 0 < got["p50"] <= got["p95"] <= got["p99"] and vector.latencies(rows, rows.limit(0)) == {}
+
+
+def test_components_of_embeddings_are_those_of_numpy(spark, sf_dir):
+    from quernstone import catalog
+
+    rows = {r.vec_id: r.embedding for r in table(spark, sf_dir, "embeddings").collect()}
+    ids = sorted(rows)
+    m = np.array([rows[i] for i in ids], float)
+    m -= m.mean(axis=0)
+    want = m @ np.linalg.svd(m, full_matrices=False)[2][:2].T
+    got = {r.vec_id: (r.x, r.y) for r in catalog.QUERIES["pca_scatter"](spark, sf_dir).collect()}
+    placed = np.array([got[i] for i in ids])
+    for k in range(2):  # signs are free; so is a constant, as the projection may be of rows that are not centred
+        a, b = placed[:, k] - placed[:, k].mean(), want[:, k] - want[:, k].mean()
+        assert np.allclose(a, b, atol=1e-3) or np.allclose(a, -b, atol=1e-3)
+
+
+def test_dense_checks_are_guarded():
+    assert linalg.dense_fits(15_000) and not linalg.dense_fits(15_001) and not linalg.dense_fits(0)
+
+
 def test_strategies(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     got = vector.search(rows, rows.where("vec_id = 40"), 5, ("exact", "ivf"))
