@@ -112,8 +112,38 @@ def _sketches(k: int):
     return run
 
 
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, of sets that aren't empty."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(small):
+        return False
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _spoked(percent: int, k: int):
+    """Links between the first text of each group (the head, whose ``lead`` is set) and the others; no more than the head's set is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(0, np.uint64)
+        for batch in batches:
+            heads, lead, nodes = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
+            found = []
+            for a, _, data, bounds in pieces(batch.column(4)):
+                for i, own in enumerate(shingle_sets(Words(data, bounds, lower=True), k), a):
+                    if lead[i]:
+                        head = own
+                    elif alike(head, own, percent):
+                        found.append(i)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[found], pa.int64()), pa.array(heads[found], pa.int64())], ["u", "v"])
+
+    return run
+
+
 def _linked(percent: int, k: int):
-    """Links of the members of each group (sorted by group): a spanning forest of the pairs that are alike."""
+    """Links of the members of each group (sorted by group) that join different parts: a spanning forest of the pairs that are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -122,7 +152,10 @@ def _linked(percent: int, k: int):
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 t = pa.Table.from_batches(held)
-                u, v = forest(t.column("node").to_numpy(), t.column("text"), t.column("signature").to_pylist(), percent, k)
+                parts = t.column("part").to_numpy()
+                # a task of two blocks has the pairs across them; those within are the tasks' of one block
+                sides = t.column("own").to_numpy() if key[1] != key[2] else None
+                u, v = forest(t.column("node").to_numpy(), t.column("text"), t.column("signature").to_pylist(), percent, k, parts, sides)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -141,9 +174,13 @@ def _linked(percent: int, k: int):
     return run
 
 
-def forest(ids: np.ndarray, texts: pa.ChunkedArray, signatures: list[bytes], percent: int, k: int) -> tuple[list[int], list[int]]:
+def forest(
+    ids: np.ndarray, texts: pa.ChunkedArray, signatures: list[bytes], percent: int, k: int, parts: np.ndarray | None = None, sides: np.ndarray | None = None
+) -> tuple[list[int], list[int]]:
     """Pairs of ids with 100 * intersection >= percent * union; of those that would close a ring, none.
 
+    Texts of one of the ``parts`` are known to be linked; with ``sides``, only pairs of different ones are looked at.
+
     Sets are of 64-bit hashes that have nothing of the words' form in them (see ``hashing``): for a pair of sets of 20,000 shingles the
     chance that any two different shingles are taken for one is 2e-11.
     """
@@ -152,38 +189,58 @@ def forest(ids: np.ndarray, texts: pa.ChunkedArray, signatures: list[bytes], per
         sets += shingle_sets(Words(data, bounds, lower=True), k)
     size = np.array([len(s) for s in sets])
     signed = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(sets), -1)
-    label, u, v = np.arange(len(sets)), [], []
+    label = np.arange(len(sets)) if parts is None else np.unique(parts, return_inverse=True)[1]
+    u, v = [], []
     least = percent / 100 - SLACK
     for i in range(len(sets) - 1):
         rest = np.arange(i + 1, len(sets))
+        rest = rest if sides is None else rest[sides[rest] != sides[i]]
         rest = rest[(label[rest] != label[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))]
         if not len(rest):
             continue
-        alike = (signed[rest] == signed[i]).mean(axis=1)
-        for j in rest[np.argsort(-alike, kind="stable")[: int((alike >= least).sum())]].tolist():
-            if label[j] == label[i] or not size[i]:
-                continue
-            small, large = (i, j) if size[i] <= size[j] else (j, i)
-            at = np.searchsorted(sets[large], sets[small])
-            both = int((sets[large][np.minimum(at, size[large] - 1)] == sets[small]).sum())
-            if 100 * both >= percent * (int(size[i]) + int(size[j]) - both):
+        agree = (signed[rest] == signed[i]).mean(axis=1)
+        for j in rest[np.argsort(-agree, kind="stable")[: int((agree >= least).sum())]].tolist():
+            if label[j] != label[i] and alike(sets[i], sets[j], percent):
                 label[label == label[j]] = label[i]
                 u.append(int(ids[i]))
                 v.append(int(ids[j]))
     return u, v
 
 
+def _grid(members: DataFrame) -> DataFrame:
+    """Members of clusters of several parts, once for each pair of blocks (i, j) that they are needed for.
+
+    If a cluster is larger than a block and one part holds half of it or more, that part has blocks of its own, which don't meet each other.
+    """
+    sized = members.groupBy("component", "part").agg(F.count("*").alias("c"), F.sum("n").alias("e"))
+    per = sized.groupBy("component").agg(F.max(F.struct("c", "part", "e")).alias("top"), F.sum("c").alias("c"), F.sum("e").alias("e"), F.count("*").alias("parts"))
+    blocks = lambda c, e: F.greatest(F.ceil(c / BLOCK), F.ceil(e * 8 / BLOCK_BYTES)).cast("long")
+    split = (blocks(F.col("c"), F.col("e")) > 1) & (F.col("top.c") * 2 >= F.col("c"))
+    first = F.when(split, blocks(F.col("top.c"), F.col("top.e"))).otherwise(F.lit(0).cast("long"))
+    rest = F.when(split, blocks(F.col("c") - F.col("top.c"), F.col("e") - F.col("top.e"))).otherwise(blocks(F.col("c"), F.col("e")))
+    per = per.where("parts > 1").select("component", F.col("top.part").alias("main"), first.alias("first"), (first + rest).alias("all"))
+    dealt = members.join(per, "component")
+    in_main = (F.col("first") > 0) & (F.col("part") == F.col("main"))
+    deal = F.xxhash64("node", F.lit(5))
+    dealt = dealt.withColumn("own", F.when(in_main, F.pmod(deal, F.greatest("first", F.lit(1)))).otherwise(F.col("first") + F.pmod(deal, F.col("all") - F.col("first"))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(in_main, F.col("first")).otherwise(F.lit(0).cast("long")), F.col("all") - 1)))
+    return dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "part", "id", "mark", "node", "signature")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5) -> DataFrame:
     """Near-duplicate classes of documents whose shingle sets have 100 * intersection >= percent * union.
 
     1. One pass makes each document's SuperMinHash signature, the hashes of its bands and a 128-bit fingerprint of its set.
     2. Documents of one set are a class, with a number of its own; one of its texts stands for it from here on.
     3. Classes with a band in common are tied to the band's smallest, and the ties' components are clusters of candidates.
-    4. A cluster's texts meet in one task, or if it is large, in a task per pair of its blocks, where each pair of different parts with
-       similar sizes and signatures is verified on full sets. Only links that join parts leave the task.
-    5. The components of those links are the result, named by the smallest id of their classes.
-
-    At 0.85, 25 bands of 5 miss a pair with a chance of 4.3e-7, if nothing else links it, and the signatures of step 4 with 4e-11: 4.3e-7
+    4. Each class is verified on full sets with the one of those smallest that it has most bands in common with; a text goes out once.
+       Components of these links are parts, and a cluster that is one part is done: a large group of copies costs its length.
+    5. What is left is pairs of different parts. A cluster's texts meet in one task, or if it is large, in a task per pair of its blocks:
+       blocks of the largest part, which meet those of the rest alone, and blocks of the rest. Pairs with similar sizes and signatures are
+       verified on full sets. Only links that join parts leave the task.
+    6. The components of all links are the result, named by the smallest id of their classes.
+
+    At 0.85, 25 bands of 5 miss a pair with a chance of 4.3e-7, if nothing else links it, and the signatures of step 5 with 4e-11: 4.3e-7
     in sum; at 0.80, 4.9e-5 and 3e-10: 4.9e-5 in sum.
 
     Returns a row per input row: id_col, n_shingles, component_id (the smallest id reachable), kept (id = component_id). Words are runs
@@ -201,22 +258,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = real.join(classes, ["f1", "f2", "n", "id", "mark"]).dropDuplicates(["node"])
     keyed = reps.select("node", F.explode("bands").alias("band"))
     heads = keyed.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("band", "head")
-    ties = keyed.join(heads, "band").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
-    clusters = connected_components(ties)
-    members = stage(reps.join(clusters, "node").select("id", "mark", "node", "component", "signature", "n"), "members")
-
-    sized = members.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("elements") * 8 / BLOCK_BYTES)).cast("long")
-    own = F.pmod(F.xxhash64("node", F.lit(5)), "blocks")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    grid = members.join(sized.select("component", blocks.alias("blocks")), "component")
-    grid = grid.withColumn("own", own).withColumn("other", other)
-    grid = grid.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "mark", "node", "signature")
-    grid = if_small(stage(grid, "grid"), 500_000)
-    texts = source.join(grid, ["id", "mark"]).select("component", "i", "j", "node", "signature", "text")
+    shared = keyed.join(heads, "band").where("node <> head").groupBy(F.col("node").alias("u"), F.col("head").alias("v")).agg(F.count("*").alias("bands"))
+    ties = stage(shared, "ties")
+    members = stage(reps.join(connected_components(ties), "node").select("id", "mark", "node", "component", "signature", "n"), "members")
+
+    spokes = ties.groupBy("u").agg(F.max_by("v", F.struct("bands", -F.col("v"))).alias("head"))
+    load = spokes.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("salts"))
+    rims = spokes.join(load, "head").select("head", F.pmod(F.xxhash64("u", F.lit(7)), "salts").alias("salt"), F.lit(False).alias("lead"), F.col("u").alias("node"))
+    hubs = load.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("lead"), F.col("head").alias("node"))
+    wheel = if_small(stage(rims.unionByName(hubs).join(members.select("node", "id", "mark"), "node"), "wheel"), 500_000)
+    texts = source.join(wheel, ["id", "mark"]).select("head", "salt", "lead", "node", "text")
+    dealt = texts.repartition(buckets(source), "head", "salt").sortWithinPartitions("head", "salt", F.desc("lead"))
+    parts = connected_components(stage(dealt.mapInArrow(_spoked(percent, words), "u long, v long"), "spokes")).withColumnRenamed("component", "part")
+
+    grid = if_small(stage(_grid(members.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))), "grid"), 500_000)
+    texts = source.join(grid, ["id", "mark"]).select("component", "i", "j", "own", "part", "node", "signature", "text")
     dealt = texts.repartition(buckets(source), "component", "i", "j").sortWithinPartitions("component", "i", "j")
     links = stage(dealt.mapInArrow(_linked(percent, words), "u long, v long"), "links")
-    groups = connected_components(links).join(classes.select("node", "id"), "node")
+    known = parts.select(F.col("node").alias("u"), F.col("part").alias("v"))
+    groups = connected_components(links.unionByName(known)).join(classes.select("node", "id"), "node")
     named = groups.join(groups.groupBy("component").agg(F.min("id").alias("first")), "component").select("node", "first")
     named = classes.join(named, "node", "left").select("f1", "f2", "n", F.coalesce("first", "id").alias("component_id"))
     out = sketch.select("id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")

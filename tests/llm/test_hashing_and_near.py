@@ -139,3 +139,19 @@ def test_long_chains_are_one_component(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {100: 100, 101: 100}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_only_pairs_of_different_parts_are_dealt(spark, monkeypatch):
+    """A cluster of one part goes nowhere; the blocks of a part that holds most of one meet the rest's alone; each pair of parts meets."""
+    monkeypatch.setattr(near, "BLOCK", 5)
+    rows = [(1, 100, n) for n in range(40)] + [(2, 200, n) for n in range(100, 140)] + [(2, 300 + n % 2, n) for n in range(140, 147)] + [(3, n, n) for n in range(200, 212)]
+    df = spark.createDataFrame([(c, p, n, n, 0, b"", 1) for c, p, n in rows], "component long, part long, node long, id long, mark long, signature binary, n long")
+    met, sent = set(), {1: 0, 2: 0, 3: 0}
+    groups = {}
+    for r in near._grid(df).collect():
+        groups.setdefault((r.component, r.i, r.j), []).append(r)
+        sent[r.component] += 1
+    for (_, i, j), own in groups.items():
+        met |= {(a.node, b.node) for a in own for b in own if a.node < b.node and a.part != b.part and (i == j or a.own != b.own)}
+    assert met == {(a, b) for c, p, a in rows for d, q, b in rows if c == d and p != q and a < b}
+    assert sent[1] == 0 and sent[2] == 40 * 2 + 7 * 10 and sent[3] == 12 * 3
