@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
@@ -20,7 +21,7 @@ from ..functions import expr as X
 from ..staging import stage
 
 #: Queries that one pass over the vectors answers; their matrix is all that tasks are sent.
-BATCH = 1024
+BATCH = 4096
 
 
 def exact_knn(vectors: DataFrame, query: list[float], k: int = 10, *, id_col: str = "vec_id", vector_col: str = "embedding", where: Column | None = None) -> DataFrame:
@@ -34,30 +35,56 @@ def exact_knn(vectors: DataFrame, query: list[float], k: int = 10, *, id_col: st
 def batch_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
     """query_id, vec_id, score, rank: the ``k`` nearest of every query, other ids only.
 
-    Queries go in batches of 1024 to all partitions, where a matrix product scores each against the partition's rows and keeps k; the
-    partitions' bests then meet by query. No pair leaves its task unless it may be among the k.
+    Queries go in batches of 4096 to all partitions, where matrix products score tiles of them against tiles of the partition's rows and keep k;
+    the partitions' bests then meet by query. No pair leaves its task unless it may be among the k. Null ids and vectors take no part.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), X.doubles(F.col(vector_col)).alias("v"))
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), X.doubles(F.col(vector_col)).alias("v"))
+    rows = _plain(vectors, id_col, vector_col)
+
+    def scorer(ids: np.ndarray, unit: np.ndarray) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(ids, k, digits)
+            for batch in batches:
+                best.offer(batch["id"].to_numpy(), _units(_matrix(batch["v"])), unit)
+            yield from best.found()
+
+        return run
+
+    return _in_batches(_plain(queries, id_col, vector_col), k, lambda ids, unit: rows.mapInArrow(scorer(ids, unit), FOUND))
+
+
+def rank_within(found: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def _plain(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    return vectors.select(F.col(id_col).cast("long").alias("id"), X.doubles(F.col(vector_col)).alias("v")).where("id is not null and v is not null")
+
+
+def _in_batches(asked: DataFrame, k: int, search: Callable[[np.ndarray, np.ndarray], DataFrame]) -> DataFrame:
+    """The k best of all queries (id, v): ``search`` gets ids and unit vectors of BATCH queries at a time, by id; of many batches each is its own small table."""
     parts, last = [], None
     while True:
         own = (asked if last is None else asked.where(F.col("id") > last)).orderBy("id").limit(BATCH).collect()
         if not own:
             break
         last = own[-1]["id"]
-        part = rows.mapInPandas(_scorer([r["id"] for r in own], np.array([r["v"] for r in own]), k, digits), "query_id long, vec_id long, score double")
-        parts.append(stage(part, "batch") if parts or len(own) == BATCH else part)  # of many batches, each is its own small table, not a scan of one plan
+        part = search(np.array([r["id"] for r in own]), _units(np.array([r["v"] for r in own])))
+        parts.append(stage(part, "batch") if parts or len(own) == BATCH else part)
     if not parts:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+        return asked.sparkSession.createDataFrame([], f"{FOUND}, rank int")
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
     return rank_within(found, k)
 
 
-def rank_within(found: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows, without a Python object for each."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1 if len(column) else 1)
 
 
 def _units(m: np.ndarray) -> np.ndarray:
@@ -65,28 +92,57 @@ def _units(m: np.ndarray) -> np.ndarray:
     return m / np.where(size > 0, size, 1.0)
 
 
-def _scorer(ids: list[int], matrix: np.ndarray, k: int, digits: int) -> Callable:
-    asked, unit = np.array(ids), _units(matrix)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            own = batch["id"].to_numpy()
-            scores = np.round(unit @ _units(np.stack(batch["v"].to_numpy())).T, digits)
-            scores[asked[:, None] == own[None, :]] = -np.inf
-            # the k best of a row and their ties at the kth place
-            at = min(k, scores.shape[1]) - 1
-            floor = -np.partition(-scores, at, axis=1)[:, at]
-            q, c = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
-            new = pd.DataFrame({"query_id": asked[q], "vec_id": own[c], "score": scores[q, c]})
-            best = new if best is None else pd.concat([best, new])
-            best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
-
-    return run
+#: Queries and rows whose scores are held at once: 4 MB.
+TILE = (1024, 512)
+
+
+class _Best:
+    """The ``k`` best rows seen of each query, as arrays: higher scores (rounded), then smaller ids. A query's own id is none of them."""
+
+    def __init__(self, ids: np.ndarray, k: int, digits: int):
+        self.ids, self.k, self.digits = ids, k, digits
+        self.score, self.item = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+
+    def offer(self, own: np.ndarray, vectors: np.ndarray, unit: np.ndarray, asked: np.ndarray | None = None, allowed: Callable | None = None, over: float | None = None) -> None:
+        """Rows ``own`` with unit ``vectors``, to the queries ``asked`` (positions; else all) with their ``unit`` vectors, tile by tile.
+
+        ``allowed`` (positions of queries, a slice of rows) says which pairs count, ``over`` which scores; a tile without any isn't multiplied.
+        """
+        asked = np.arange(len(self.ids)) if asked is None else asked
+        for b in range(0, len(own), TILE[1]):
+            rows = slice(b, b + TILE[1])
+            for a in range(0, len(asked), TILE[0]):
+                at = asked[a : a + TILE[0]]
+                fits = None if allowed is None else allowed(at, rows)
+                if fits is not None and not fits.any():
+                    continue
+                scores = unit[at] @ vectors[rows].T
+                scores[self.ids[at][:, None] == own[None, rows]] = -np.inf
+                if fits is not None:
+                    scores[~fits] = -np.inf
+                if over is not None:
+                    scores[scores <= over] = -np.inf
+                floor = self.score[at, -1]
+                if not np.isfinite(floor).all() and scores.shape[1] > self.k:  # nothing to compare with yet: the tile's own kth
+                    floor = np.maximum(floor, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
+                # rounding may lift a score by half a unit of its last digit
+                q, c = np.nonzero((scores >= (floor - 10.0**-self.digits)[:, None]) & np.isfinite(scores))
+                if len(q):
+                    self._take(at, q, own[rows][c], np.round(scores[q, c], self.digits))
+
+    def _take(self, at: np.ndarray, q: np.ndarray, items: np.ndarray, scores: np.ndarray) -> None:
+        there = np.unique(q)
+        q = np.concatenate([q, np.repeat(there, self.k)])
+        items, scores = np.concatenate([items, self.item[at[there]].ravel()]), np.concatenate([scores, self.score[at[there]].ravel()])
+        order = np.lexsort((items, -scores, q))
+        q, items, scores = q[order], items[order], scores[order]
+        first = np.searchsorted(q, there)
+        chosen = first[:, None] + np.arange(self.k)
+        self.score[at[there]], self.item[at[there]] = scores[chosen], items[chosen]
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        q, place = np.nonzero(np.isfinite(self.score))
+        yield pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(self.item[q, place]), pa.array(self.score[q, place])], ["query_id", "vec_id", "score"])
 
 
 #: Share of its cells that an index looks into if not told otherwise: what vectors without clusters need for a recall of 0.9.

@@ -18,6 +18,18 @@ def test_batch_breaks_ties_by_id_and_leaves_self_out(spark):
     assert vector.batch_knn(df, df.limit(0)).count() == 0
 
 
+def test_batch_leaves_null_vectors_out_and_tiles_are_one_search(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    m = np.round(rng.standard_normal((90, 4)), 1)
+    df = spark.createDataFrame([*((i, [float(x) for x in v]) for i, v in enumerate(m)), (900, None)], "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(vector, "TILE", (5, 7))
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 6)
+    want = [(q, i) for q in range(90) for i in sorted(set(range(90)) - {q}, key=lambda i: (-scores[q, i], i))[:4]]
+    got = vector.batch_knn(df, df, 4).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == want
+
+
 def test_index_recall(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 20 = 0")
