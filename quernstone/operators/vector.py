@@ -162,23 +162,37 @@ def latencies(vectors: DataFrame, queries: DataFrame, k: int = 10, n: int = 100,
 class IvfIndex:
     """Vectors dealt to k-means cells; a search looks at the ``probes`` cells nearest to the query and ranks them exactly."""
 
-    # cells are fitted on ``fit_rows`` vectors at most, the first by a hash of the id; all are dealt to them
+    # cells are fitted on about ``fit_rows`` vectors at most, chosen by a hash of the id; all are dealt to them
     def __init__(self, vectors: DataFrame, cells: int = 16, *, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = 50_000, seed: int = 1):
-        rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), X.unit(F.col(vector_col)).alias("v"))
-        rows = rows.withColumn("features", array_to_vector("v"))
-        fit = rows.orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(fit_rows)
+        rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), X.unit(F.col(vector_col)).alias("v")).where("vec_id is not null and v is not null")
+        units = stage(rows, "units")  # fitting passes over them again and again
+        n, rows = units.count(), units.withColumn("features", array_to_vector("v"))
+        fit = rows if n <= fit_rows else rows.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30)))
         self.model = KMeans(k=cells, seed=seed, maxIter=15).fit(fit)
         self.centers = np.array(self.model.clusterCenters())
         self.rows = stage(self.model.transform(rows).select("vec_id", "v", F.col("prediction").alias("cell")), "cells")
 
     def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-        probes = probes or math.ceil(len(self.centers) * PROBED)
-        centers = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in enumerate(self.centers)])
-        asked = queries.select(F.col(id_col).cast("long").alias("query_id"), X.unit(F.col(vector_col)).alias("q"))
-        near = F.slice(F.array_sort(F.transform(centers, lambda x: F.struct(X.dot(x["c"], F.col("q")).alias("d"), x["cell"].alias("cell"))), lambda a, b: F.when(a["d"] > b["d"], -1).when(a["d"] < b["d"], 1).otherwise(a["cell"] - b["cell"])), 1, probes)
-        probed = asked.withColumn("cell", F.explode(F.transform(near, lambda x: x["cell"])))
-        pairs = self.rows.join(probed, "cell").where("vec_id <> query_id")
-        return rank_within(pairs.select("query_id", "vec_id", F.round(X.dot(F.col("v"), F.col("q")), 6).alias("score")), k)
+        """query_id, vec_id, score, rank. A task multiplies each cell's rows with the vectors of the queries that probe it, and keeps k of each."""
+        probes, centers = probes or math.ceil(len(self.centers) * PROBED), self.centers
+
+        def scorer(ids: np.ndarray, unit: np.ndarray) -> Callable:
+            near = np.argsort(-(unit @ centers.T), axis=1, kind="stable")[:, :probes]
+            probed = np.zeros((len(ids), len(centers)), bool)
+            probed[np.arange(len(ids))[:, None], near] = True
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                best = _Best(ids, k, 6)
+                for batch in batches:
+                    own, cell, vectors = batch["vec_id"].to_numpy(), batch["cell"].to_numpy(), _matrix(batch["v"])
+                    for c in np.unique(cell):
+                        here = cell == c
+                        best.offer(own[here], vectors[here], unit, np.flatnonzero(probed[:, c]))
+                yield from best.found()
+
+            return run
+
+        return _in_batches(_plain(queries, id_col, vector_col), k, lambda ids, unit: self.rows.mapInArrow(scorer(ids, unit), FOUND))
 
 
 class SketchIndex:

@@ -30,6 +30,13 @@ def test_batch_leaves_null_vectors_out_and_tiles_are_one_search(spark, monkeypat
     assert [(r.query_id, r.vec_id) for r in got] == want
 
 
+def test_no_pair_of_a_cell_is_a_row(spark, sf_dir):
+    """A probe joins no rows: pairs are scored in tasks."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = vector.IvfIndex(rows, cells=4).search(rows.where("vec_id % 20 = 0"), 10)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_index_recall(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 20 = 0")
