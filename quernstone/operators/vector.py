@@ -11,7 +11,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -288,12 +287,37 @@ def _near(ids: np.ndarray, unit: np.ndarray, codes: np.ndarray, reach: np.ndarra
 
 
 def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8, width: float = 0.5, reach: float = 1.4) -> DataFrame:
-    """Approximate neighbours by random projections of unit vectors, ranked exactly. ``reach`` bounds the distance, so recall may be below 1."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), array_to_vector(X.unit(F.col(vector_col))).alias("f"))
-    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), array_to_vector(X.unit(F.col(vector_col))).alias("f"))
-    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=width, numHashTables=tables, seed=3).fit(rows)
-    pairs = model.approxSimilarityJoin(asked, rows, reach, "dist").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), "dist")
-    return rank_within(pairs.where("query_id <> vec_id").select("query_id", "vec_id", F.round(1.0 - F.col("dist") * F.col("dist") / 2.0, 6).alias("score")), k)
+    """Approximate neighbours by random projections of unit vectors, ranked exactly. ``reach`` bounds the distance, so recall may be below 1.
+
+    A pair is a candidate if some table has both in one bucket. Tasks hold the queries' buckets and look for candidates among their rows, so no
+    pair is written; at the default width nearly all pairs are candidates, which takes time as an exact search does, but no disk.
+    """
+    rows = _plain(vectors, id_col, vector_col)
+    first = rows.select(F.size("v")).first()
+    planes = np.random.default_rng(3).standard_normal((first[0] if first else 1, tables))
+    planes /= np.sqrt((planes * planes).sum(axis=0))
+
+    def scorer(ids: np.ndarray, unit: np.ndarray) -> Callable:
+        asked = np.floor(unit @ planes / width)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(ids, k, 6)
+            for batch in batches:
+                vectors = _units(_matrix(batch["v"]))
+                own = np.floor(vectors @ planes / width)
+
+                def meet(at: np.ndarray, rows: slice, own: np.ndarray = own) -> np.ndarray:
+                    found = np.zeros((len(at), len(own[rows])), bool)
+                    for t in range(tables):
+                        found |= asked[at, t, None] == own[None, rows, t]
+                    return found
+
+                best.offer(batch["id"].to_numpy(), vectors, unit, allowed=meet, over=1.0 - reach * reach / 2.0)
+            yield from best.found()
+
+        return run
+
+    return _in_batches(_plain(queries, id_col, vector_col), k, lambda ids, unit: rows.mapInArrow(scorer(ids, unit), FOUND))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, strategies: tuple[str, ...] = ("exact",), index: IvfIndex | None = None) -> dict[str, tuple[DataFrame, float]]:

@@ -37,6 +37,14 @@ def test_no_pair_of_a_cell_is_a_row(spark, sf_dir):
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_no_candidate_of_a_bucket_is_a_row(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    found = vector.lsh_knn(rows, rows.where("vec_id % 20 = 0"), 10)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    far = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [0.8, 0.6]), (4, None)], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in vector.lsh_knn(far, far.where("vec_id = 1"), 5, width=5.0).collect()] == [(3, 0.8)]
+
+
 def test_index_recall(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 20 = 0")
