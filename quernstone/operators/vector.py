@@ -221,30 +221,32 @@ class SketchIndex:
 
     def search(self, queries: DataFrame, k: int = 10, share: float = 0.15, *, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
         """query_id, vec_id, score, rank: the ``k`` nearest other ids among the ``share`` of rows with the nearest sketches (ties included)."""
-        asked = queries.select(F.col(id_col).cast("long").alias("id"), X.doubles(F.col(vector_col)).alias("v")).where("id is not null and v is not null")
-        parts, last = [], None
-        while self.n:
-            own = (asked if last is None else asked.where(F.col("id") > last)).orderBy("id").limit(BATCH).collect()
-            if not own:
-                break
-            last = own[-1]["id"]
-            ids, unit = np.array([r["id"] for r in own]), _units(np.array([r["v"] for r in own]))
-            codes = np.packbits(unit @ self.planes > 0, axis=1)
-            seen = np.zeros((len(own), self.planes.shape[1] + 1), np.int64)
-            counted = self.rows.select("code").mapInPandas(_distances(codes), "query int, apart int, n long").groupBy("query", "apart").agg(F.sum("n"))
-            for query, apart, n in counted.collect():
-                seen[query, apart] = n
-            reach = (np.cumsum(seen, axis=1) >= max(k + 1, share * self.n)).argmax(axis=1)
-            parts.append(stage(self.rows.mapInPandas(_near(ids, unit, codes, reach, k, digits), "query_id long, vec_id long, score double"), "near"))
-        found = parts[0] if parts else queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        return rank_within(found, k)
-
-
-def _apart(codes: np.ndarray, batch: pd.DataFrame) -> np.ndarray:
+
+        def near(ids: np.ndarray, unit: np.ndarray) -> DataFrame:
+            codes = _words(np.packbits(unit @ self.planes > 0, axis=1))
+            counted = self.rows.select("code").mapInArrow(_distances(codes), "query int, apart int, n long").groupBy("query", "apart").agg(F.sum("n").alias("n"))
+            so_far = F.sum("n").over(W.partitionBy("query").orderBy("apart"))
+            reached = counted.withColumn("n", so_far).where(F.col("n") >= max(k + 1, share * self.n)).groupBy("query").agg(F.min("apart").alias("apart"))
+            reach = np.zeros(len(ids), np.int64) if self.n > k else np.full(len(ids), self.planes.shape[1])
+            for query, apart in reached.collect():
+                reach[query] = apart
+            return self.rows.mapInArrow(_near(ids, unit, codes, reach, k, digits), FOUND)
+
+        asked = _plain(queries, id_col, vector_col)
+        return _in_batches(asked if self.n else asked.limit(0), k, near)
+
+
+def _words(codes: np.ndarray) -> np.ndarray:
+    """Sketches as rows of 64-bit words."""
+    return np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))).view(np.uint64)
+
+
+def _codes(batch: pa.RecordBatch) -> np.ndarray:
+    return _words(np.frombuffer(b"".join(batch["code"].to_pylist()), np.uint8).reshape(len(batch), -1))
+
+
+def _apart(codes: np.ndarray, own: np.ndarray) -> np.ndarray:
     """How many signs differ: queries x rows."""
-    own = np.frombuffer(b"".join(batch["code"]), np.uint8).reshape(len(batch), -1)
     out = np.zeros((len(codes), len(own)), np.int32)
     for j in range(own.shape[1]):
         out += np.bitwise_count(codes[:, j, None] ^ own[None, :, j])
@@ -252,36 +254,34 @@ def _apart(codes: np.ndarray, batch: pd.DataFrame) -> np.ndarray:
 
 
 def _distances(codes: np.ndarray) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width = codes.shape[1] * 8 + 1
-        seen = np.zeros(len(codes) * width, np.int64)
-        for whole in batches:
-            for a in range(0, len(whole), 2000):
-                apart = _apart(codes, whole.iloc[a : a + 2000])
-                seen += np.bincount((apart + width * np.arange(len(codes))[:, None]).ravel(), minlength=len(seen))
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"query": (at // width).astype(np.int32), "apart": (at % width).astype(np.int32), "n": seen[at]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = codes.shape[1] * 64 + 1
+        seen = np.zeros((len(codes), width), np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            own = _codes(batch)
+            for a in range(0, len(codes), TILE[0]):
+                here = codes[a : a + TILE[0]]
+                base = width * np.arange(len(here))[:, None]
+                for b in range(0, len(own), TILE[1]):
+                    seen[a : a + TILE[0]] += np.bincount((_apart(here, own[b : b + TILE[1]]) + base).ravel(), minlength=len(here) * width).reshape(len(here), width)
+        query, apart = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int32)), pa.array(apart.astype(np.int32)), pa.array(seen[query, apart])], ["query", "apart", "n"])
 
     return run
 
 
 def _near(ids: np.ndarray, unit: np.ndarray, codes: np.ndarray, reach: np.ndarray, k: int, digits: int) -> Callable:
-    """Each query's k best of a task's rows whose sketches are within its reach, ranked by the vectors of those alone."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for whole in batches:
-            for a in range(0, len(whole), 2000):
-                batch = whole.iloc[a : a + 2000]
-                own = batch["vec_id"].to_numpy()
-                q, c = np.nonzero((_apart(codes, batch) <= reach[:, None]) & (ids[:, None] != own[None, :]))
-                vectors = np.stack(batch["v"].to_numpy())
-                scores = np.concatenate([np.einsum("ij,ij->i", unit[q[b : b + 65536]], vectors[c[b : b + 65536]]) for b in range(0, len(q), 65536)] or [np.zeros(0)])
-                new = pd.DataFrame({"query_id": ids[q], "vec_id": own[c], "score": np.round(scores, digits)})
-                best = new if best is None else pd.concat([best, new])
-                best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
+    """Each query's k best of a task's rows whose sketches are within its reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(ids, k, digits)
+        for batch in batches:
+            if len(batch):
+                own = _codes(batch)
+                best.offer(batch["vec_id"].to_numpy(), _matrix(batch["v"]), unit, allowed=lambda at, rows, own=own: _apart(codes[at], own[rows]) <= reach[at][:, None])
+        yield from best.found()
 
     return run
 

@@ -45,6 +45,16 @@ def test_no_candidate_of_a_bucket_is_a_row(spark, sf_dir):
     assert [(r.vec_id, r.score) for r in vector.lsh_knn(far, far.where("vec_id = 1"), 5, width=5.0).collect()] == [(3, 0.8)]
 
 
+def test_a_queries_reach_is_one_row_to_the_driver(spark, sf_dir, monkeypatch):
+    """Counts of distances stay where they are made; only the reach of each query is brought back."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked, brought, plain = rows.where("vec_id % 20 = 0"), [], type(rows).collect
+    index = vector.SketchIndex(rows)
+    monkeypatch.setattr(type(rows), "collect", lambda df: (brought.append(got := plain(df)), got)[1])
+    found = index.search(asked, 10)
+    assert max(map(len, brought)) == asked.count() and found.count() == 10 * asked.count()
+
+
 def test_index_recall(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 20 = 0")
