@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,21 +39,22 @@ def matmul_blocks(a: DataFrame, b: DataFrame, block: int = 256) -> DataFrame:
         cell = F.struct((F.col("i") % block).cast("int").alias("r"), (F.col("j") % block).cast("int").alias("c"), "v")
         return m.groupBy(F.floor(F.col("i") / block).alias(row), F.floor(F.col("j") / block).alias(col)).agg(F.collect_list(cell).alias(width))
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def dense(cells: list) -> np.ndarray:
-            m = np.zeros((block, block))
-            for x in cells:
-                m[x["r"], x["c"]] = x["v"]
-            return m
+    def dense(cells: pa.Array) -> np.ndarray:
+        m, x = np.zeros((block, block)), cells.flatten()
+        m[x.field("r").to_numpy(), x.field("c").to_numpy()] = x.field("v").to_numpy(zero_copy_only=False)
+        return m
 
-        for batch in batches:
-            for bi, bj, x, y in zip(batch["bi"], batch["bj"], batch["x"], batch["y"], strict=True):
-                m = dense(x) @ dense(y)
-                i, j = np.nonzero(m)
-                yield pd.DataFrame({"i": i + bi * block, "j": j + bj * block, "v": m[i, j]})
+    def multiply(pair: pa.Table) -> pa.Table:
+        bi, bj, m = pair["bi"][0].as_py(), pair["bj"][0].as_py(), np.zeros((block, block))
+        for batch in pair.to_batches():
+            for at in range(len(batch)):
+                m += dense(batch["x"].slice(at, 1)) @ dense(batch["y"].slice(at, 1))
+        i, j = np.nonzero(m)
+        return pa.table({"i": i + bi * block, "j": j + bj * block, "v": m[i, j]})
 
+    # a task's Python holds one pair of blocks at a time, not a batch of them
     pairs = blocked(a, "bi", "bk", "x").join(blocked(b, "bk", "bj", "y"), "bk")
-    return pairs.mapInPandas(multiply, CELLS).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return pairs.groupBy("bi", "bj", "bk").applyInArrow(multiply, CELLS).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def transpose(a: DataFrame) -> DataFrame:

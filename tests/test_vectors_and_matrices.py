@@ -142,6 +142,15 @@ def test_products(spark):
         linalg.run("invert", x)
 
 
+def test_a_pair_of_blocks_at_a_time(spark, monkeypatch):
+    """Python gets a group for each pair of blocks, never a batch of many."""
+    a = np.arange(1.0, 31.0).reshape(3, 10)
+    x, y = linalg.from_numpy(spark, a), linalg.from_numpy(spark, a.T)
+    made = linalg.matmul_blocks(x, y, 2)
+    assert "MapInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+    assert np.allclose(linalg.to_numpy(made, (3, 3)), a @ a.T)
+
+
 def test_least_squares(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0], 1.0), (1, [1.0, 1.0], 3.0), (2, [1.0, 2.0], 5.0)], "i long, a array<double>, y double")
     ata, aty = linalg.gram(rows)
