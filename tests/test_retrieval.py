@@ -51,6 +51,27 @@ def test_contributions(index):
     assert matrix["a", 1] == 0.6667 and matrix["c", 1] == 0.0 and len(matrix) == 6
 
 
+def test_postings_are_counted_without_a_shuffle(spark):
+    """Each row's words are counted in the row; texts without words have no postings but count as documents."""
+    df = spark.createDataFrame([(1, "b a b"), (2, None), (3, "..."), (4, "a")], "doc_id long, text string")
+    plain = text.build_index(df)
+    assert "Exchange" not in plain.postings._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.term, r.doc_id, r.cnt, r.len) for r in plain.postings.collect()) == [("a", 1, 1, 3), ("a", 4, 1, 1), ("b", 1, 2, 3)]
+    terms, n, mean_len = plain.totals
+    assert {r.term: r.df for r in terms.collect()} == {"a": 2, "b": 1} and (n, mean_len) == (4, 1.0)
+    assert text.build_index(df.limit(0)).totals[1:] == (0, None) and text.bm25(text.build_index(df.limit(0)), "a").count() == 0
+
+
+def test_plain_index_scores_as_the_written_one(spark, index):
+    plain = text.build_index(spark.createDataFrame(DOCS, "doc_id long, text string"))
+    for query in ("a c", "d d", "b zzz", ""):
+        for method in (text.tfidf, text.bm25, text.daat, text.taat):
+            assert scores(method(plain, query)) == scores(method(index, query))
+    for method in (text.tfidf_contributions, text.bm25_contributions):
+        made = [sorted(map(tuple, method(i, "b d d", text.taat(i, "b d")).collect())) for i in (plain, index)]
+        assert made[0] == made[1] and len(made[0]) == 4
+
+
 def test_tokens(spark):
     row = spark.range(1).select(X.tokens(F.lit("Ёлка-2 ÉtÉ x1y ПРИВЕТ")).alias("t")).first()
     assert row.t == ["ёлка", "t", "x", "y", "привет"]
