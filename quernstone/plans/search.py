@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import graph, text, vector
+from ..staging import stage
 
 METHODS = ("fulltext_daat", "fulltext_taat", "tfidf", "bm25", "lsa", "dense", "ppr")
 
@@ -57,8 +58,10 @@ def search(corpus: Corpus, method: str, query: str, k: int = 10) -> DataFrame:
 
 def enrich(results: DataFrame, articles: DataFrame, ranks: DataFrame | None = None, width: int = 300) -> DataFrame:
     """Results with title, address form of the title, rank (6 digits, 0 if unknown), rounded score and a snippet; unknown documents are dropped."""
-    joined = articles.join(F.broadcast(results.select("doc_id", "score")), "doc_id")
-    joined = joined.join(ranks.select(F.col("id").alias("doc_id"), "r"), "doc_id", "left") if ranks is not None else joined.withColumn("r", F.lit(0.0))
+    results = stage(results.select("doc_id", "score"), "results")  # what a search shows, some hundred rows at most
+    joined = articles.join(F.broadcast(results), "doc_id")
+    known = ranks.select(F.col("id").alias("doc_id"), "r").join(F.broadcast(results.select("doc_id")), "doc_id", "left_semi") if ranks is not None else None
+    joined = joined.join(F.broadcast(known), "doc_id", "left") if ranks is not None else joined.withColumn("r", F.lit(0.0))
     return joined.select(
         "doc_id",
         "title",

@@ -72,6 +72,14 @@ def test_plain_index_scores_as_the_written_one(spark, index):
         assert made[0] == made[1] and len(made[0]) == 4
 
 
+def test_ranks_of_other_documents_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"T {i}", t) for i, t in DOCS], "doc_id long, title string, text string")
+    ranks = spark.createDataFrame([(i, i / 4) for i in range(3)], "id long, r double")
+    shown = S.enrich(spark.createDataFrame([(2, 0.5), (3, 0.25)], "doc_id long, score double"), docs, ranks)
+    assert "Exchange hashpartitioning" not in shown._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.pagerank for r in shown.collect()} == {2: 0.5, 3: 0.0}
+
+
 def test_tokens(spark):
     row = spark.range(1).select(X.tokens(F.lit("Ёлка-2 ÉtÉ x1y ПРИВЕТ")).alias("t")).first()
     assert row.t == ["ёлка", "t", "x", "y", "привет"]
