@@ -103,6 +103,22 @@ def test_latent_scores_match_a_dense_decomposition(spark):
     assert got == pytest.approx(want, abs=2e-5)
 
 
+def test_latent_vectors_are_made_once(spark):
+    """Searches and scatters read what was written; documents without terms have a vector of no length; the vocabulary is cut by count, then term."""
+    docs = [(0, "red red blue"), (1, None), (2, "blue green"), (3, "..."), (4, "green red"), (5, "ash")]
+    latent = text.Latent(spark.createDataFrame(docs, "doc_id long, text string"), vocabulary=4, k=2)
+    assert latent.counter.vocabulary == ["red", "blue", "green", "ash"]
+    assert latent.idf == pytest.approx([math.log(7 / (1 + df)) + 1 for df in (2, 2, 2, 1)])
+    sizes = {r.doc_id: round(math.hypot(*r.v), 6) for r in latent.vectors.collect()}
+    assert sizes == {0: 1.0, 1: 0.0, 2: 1.0, 3: 0.0, 4: 1.0, 5: sizes[5]}
+    placed = latent.scatter(latent.search("red"))
+    for made in (placed, latent.search("red")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "EvalPython" not in plan and "MapInArrow" not in plan
+    hits = {r.doc_id for r in latent.search("red").collect()}
+    assert {r.doc_id for r in placed.collect() if r.is_result} == hits >= {0, 4} and placed.count() == 6
+
+
 def test_facade(spark, index):
     articles = spark.createDataFrame([(i, f"T {i}", t) for i, t in DOCS], "doc_id long, title string, text string")
     corpus = S.Corpus(articles, index)
