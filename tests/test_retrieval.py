@@ -119,6 +119,21 @@ def test_latent_vectors_are_made_once(spark):
     assert {r.doc_id for r in placed.collect() if r.is_result} == hits >= {0, 4} and placed.count() == 6
 
 
+def test_decomposition_holds_its_rows(spark, monkeypatch):
+    """Its passes read rows from memory, and they go when it ends."""
+    seen, svd, kept = [], text.RowMatrix.computeSVD, lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def watched(self, *given, **named):
+        level = self._java_matrix_wrapper._java_model.rows().getStorageLevel()
+        seen.append((level.useMemory(), level.useDisk()))
+        return svd(self, *given, **named)
+
+    monkeypatch.setattr(text.RowMatrix, "computeSVD", watched)
+    before = kept()
+    text.Latent(spark.createDataFrame(DOCS, "doc_id long, text string"), k=2)
+    assert seen == [(True, False)] and kept() == before
+
+
 def test_facade(spark, index):
     articles = spark.createDataFrame([(i, f"T {i}", t) for i, t in DOCS], "doc_id long, title string, text string")
     corpus = S.Corpus(articles, index)
