@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import buckets, if_small, stage
-from .components import connected_components
+from .components import POINTERS, connected_components, pointers, relabel, roots
 from .hashing import Words, mix, pieces, shingle_sets
 
 BANDS, ROWS = 25, 5
@@ -123,10 +123,13 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _spoked(percent: int, k: int):
-    """Links between the first text of each group (the head, whose ``lead`` is set) and the others; no more than the head's set is held."""
+    """Links between the first text of each group (the head, whose ``lead`` is set) and the others; no more than the head's set is held.
+
+    Rows of one node, which are repeated rows of the input, follow each other; all but the first are passed over.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = np.zeros(0, np.uint64)
+        head, last = np.zeros(0, np.uint64), None
         for batch in batches:
             heads, lead, nodes = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
             found = []
@@ -134,8 +137,9 @@ def _spoked(percent: int, k: int):
                 for i, own in enumerate(shingle_sets(Words(data, bounds, lower=True), k), a):
                     if lead[i]:
                         head = own
-                    elif alike(head, own, percent):
+                    elif nodes[i] != last and alike(head, own, percent):
                         found.append(i)
+                    last = nodes[i]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[found], pa.int64()), pa.array(heads[found], pa.int64())], ["u", "v"])
 
@@ -219,7 +223,7 @@ def _grid(members: DataFrame) -> DataFrame:
     first = F.when(split, blocks(F.col("top.c"), F.col("top.e"))).otherwise(F.lit(0).cast("long"))
     rest = F.when(split, blocks(F.col("c") - F.col("top.c"), F.col("e") - F.col("top.e"))).otherwise(blocks(F.col("c"), F.col("e")))
     per = per.where("parts > 1").select("component", F.col("top.part").alias("main"), first.alias("first"), (first + rest).alias("all"))
-    dealt = members.join(per, "component")
+    dealt = members.join(if_small(stage(per, "per"), 500_000), "component")
     in_main = (F.col("first") > 0) & (F.col("part") == F.col("main"))
     deal = F.xxhash64("node", F.lit(5))
     dealt = dealt.withColumn("own", F.when(in_main, F.pmod(deal, F.greatest("first", F.lit(1)))).otherwise(F.col("first") + F.pmod(deal, F.col("all") - F.col("first"))))
@@ -232,13 +236,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     1. One pass makes each document's SuperMinHash signature, the hashes of its bands and a 128-bit fingerprint of its set.
     2. Documents of one set are a class, with a number of its own; one of its texts stands for it from here on.
-    3. Classes with a band in common are tied to the band's smallest, and the ties' components are clusters of candidates.
+    3. Classes with a band in common are tied to the band's smallest.
     4. Each class is verified on full sets with the one of those smallest that it has most bands in common with; a text goes out once.
-       Components of these links are parts, and a cluster that is one part is done: a large group of copies costs its length.
-    5. What is left is pairs of different parts. A cluster's texts meet in one task, or if it is large, in a task per pair of its blocks:
+       Each of these links points from a class to a smaller one, one at most from each; the classes under one root are a part. A large group
+       of copies costs its length.
+    5. Ties between different parts make clusters of them; what is left is pairs of different parts of a cluster.
+       A cluster's texts meet in one task, or if it is large, in a task per pair of its blocks:
        blocks of the largest part, which meet those of the rest alone, and blocks of the rest. Pairs with similar sizes and signatures are
        verified on full sets. Only links that join parts leave the task.
-    6. The components of all links are the result, named by the smallest id of their classes.
+    6. The components of parts by these links are the result, named by the smallest id of their classes.
+
+    Tables of pointers up to a number go to all tasks, so that few steps shuffle anything; beyond it they are joined.
 
     At 0.85, 25 bands of 5 miss a pair with a chance of 4.3e-7, if nothing else links it, and the signatures of step 5 with 4e-11: 4.3e-7
     in sum; at 0.80, 4.9e-5 and 3e-10: 4.9e-5 in sum.
@@ -252,34 +260,45 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     sketch = stage(source.mapInArrow(_sketches(words), SKETCH), "sketch")
     real = sketch.where("n > 0 and id is not null")
-    # numbers are written once, so that a task that runs again can't deal others
-    classes = real.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "mark")).alias("least"))
-    classes = stage(classes.select("f1", "f2", "n", "least.*").withColumn("node", F.monotonically_increasing_id()), "classes")
-    reps = real.join(classes, ["f1", "f2", "n", "id", "mark"]).dropDuplicates(["node"])
-    keyed = reps.select("node", F.explode("bands").alias("band"))
+    # bands and signatures are of the set, so any row's will do; numbers are written once, so that a task that runs again can't deal others
+    classes = real.groupBy("f1", "f2", "n").agg(
+        F.min(F.struct("id", "mark")).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
+    )
+    classes = stage(classes.select("*", "least.*").drop("least").withColumn("node", F.monotonically_increasing_id()), "classes")
+    keyed = classes.select("node", F.explode("bands").alias("band"))
     heads = keyed.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("band", "head")
     shared = keyed.join(heads, "band").where("node <> head").groupBy(F.col("node").alias("u"), F.col("head").alias("v")).agg(F.count("*").alias("bands"))
     ties = stage(shared, "ties")
-    members = stage(reps.join(connected_components(ties), "node").select("id", "mark", "node", "component", "signature", "n"), "members")
 
-    spokes = ties.groupBy("u").agg(F.max_by("v", F.struct("bands", -F.col("v"))).alias("head"))
-    load = spokes.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("salts"))
+    spokes = stage(ties.groupBy("u").agg(F.max_by("v", F.struct("bands", -F.col("v"))).alias("head")), "spokes")
+    load = if_small(stage(spokes.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("salts")), "load"), 500_000)
     rims = spokes.join(load, "head").select("head", F.pmod(F.xxhash64("u", F.lit(7)), "salts").alias("salt"), F.lit(False).alias("lead"), F.col("u").alias("node"))
     hubs = load.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("lead"), F.col("head").alias("node"))
-    wheel = if_small(stage(rims.unionByName(hubs).join(members.select("node", "id", "mark"), "node"), "wheel"), 500_000)
+    wheel = if_small(stage(rims.unionByName(hubs), "wheel"), 500_000)
+    wheel = if_small(stage(classes.select("node", "id", "mark").join(wheel, "node"), "wheel"), 500_000)
     texts = source.join(wheel, ["id", "mark"]).select("head", "salt", "lead", "node", "text")
-    dealt = texts.repartition(buckets(source), "head", "salt").sortWithinPartitions("head", "salt", F.desc("lead"))
-    parts = connected_components(stage(dealt.mapInArrow(_spoked(percent, words), "u long, v long"), "spokes")).withColumnRenamed("component", "part")
+    dealt = texts.repartition(buckets(source), "head", "salt").sortWithinPartitions("head", "salt", F.desc("lead"), "node")
+    parts = roots(stage(dealt.mapInArrow(_spoked(percent, words), "u long, v long"), "linked"))
+    part = if_small(parts, POINTERS)
 
-    grid = if_small(stage(_grid(members.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))), "grid"), 500_000)
+    clusters = stage(connected_components(relabel(ties.select("u", "v"), part, "u", "v")).select(F.col("node").alias("part"), "component"), "clusters")
+    members = relabel(classes.select(F.col("node").alias("part"), "node", "id", "mark", "signature", "n"), part, "part").join(if_small(clusters, POINTERS), "part")
+    grid = if_small(stage(_grid(stage(members, "members")), "grid"), 500_000)
     texts = source.join(grid, ["id", "mark"]).select("component", "i", "j", "own", "part", "node", "signature", "text")
     dealt = texts.repartition(buckets(source), "component", "i", "j").sortWithinPartitions("component", "i", "j")
     links = stage(dealt.mapInArrow(_linked(percent, words), "u long, v long"), "links")
-    known = parts.select(F.col("node").alias("u"), F.col("part").alias("v"))
-    groups = connected_components(links.unionByName(known)).join(classes.select("node", "id"), "node")
-    named = groups.join(groups.groupBy("component").agg(F.min("id").alias("first")), "component").select("node", "first")
-    named = classes.join(named, "node", "left").select("f1", "f2", "n", F.coalesce("first", "id").alias("component_id"))
-    out = sketch.select("id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
+
+    tops = pointers(relabel(links, part, "u", "v"))
+    linked = stage(relabel(parts.select("u", "v"), if_small(tops, POINTERS), "v").unionByName(tops.select("u", "v")), "linked")
+    ids = classes.select(F.col("node").alias("u"), "id").join(if_small(linked, POINTERS), "u")
+    least = stage(ids.groupBy("v").agg(F.min("id").alias("least")), "least")
+    least = classes.select(F.col("node").alias("v"), "id").join(if_small(least, POINTERS), "v").select("v", F.least("id", "least").alias("first"))
+    least = stage(least, "least")
+    named = linked.join(if_small(least, POINTERS), "v").select(F.col("u").alias("node"), "first").unionByName(least.select(F.col("v").alias("node"), "first"))
+    named = classes.select("node", "f1", "f2", "n", "id", "copies").join(if_small(stage(named, "named"), POINTERS), "node", "left")
+    # a text that is alone in its class and linked with none is its own component
+    named = named.where("copies > 1 or first is not null").select("f1", "f2", "n", F.coalesce("first", "id").alias("component_id"))
+    out = sketch.select("id", "n", "f1", "f2").join(if_small(stage(named, "named"), POINTERS), ["f1", "f2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")

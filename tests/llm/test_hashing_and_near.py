@@ -5,7 +5,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quernstone.llm import near
+from quernstone import staging
+from quernstone.llm import components, near
 from quernstone.llm.components import connected_components
 from quernstone.llm.hashing import Words, pieces, shingle_sets
 
@@ -155,3 +156,51 @@ def test_only_pairs_of_different_parts_are_dealt(spark, monkeypatch):
         met |= {(a.node, b.node) for a in own for b in own if a.node < b.node and a.part != b.part and (i == j or a.own != b.own)}
     assert met == {(a, b) for c, p, a in rows for d, q, b in rows if c == d and p != q and a < b}
     assert sent[1] == 0 and sent[2] == 40 * 2 + 7 * 10 and sent[3] == 12 * 3
+
+
+def plain_components(edges):
+    label = {x: x for e in edges for x in e}
+    for u, v in edges:
+        old, new = max(label[u], label[v]), min(label[u], label[v])
+        label = {k: new if x == old else x for k, x in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("small", [64 << 20, -1])
+def test_components_of_hubs_chains_and_repeated_edges(spark, monkeypatch, small):
+    """With lookups sent to all tasks, and joined: hubs of any place in the order, a chain of no order, edges that come again."""
+    monkeypatch.setattr(staging, "SMALL_BYTES", small)
+    rng = random.Random(5)
+    chain = rng.sample(range(1000, 1040), 40)
+    edges = [(500, i) for i in range(40)] + [(41, i) for i in range(42, 70)] + list(zip(chain[:-1], chain[1:], strict=True)) + [(-3, 2**60), (2**60, -3)]
+    edges += [(rng.randrange(2000, 2060), rng.randrange(2000, 2060)) for _ in range(40)] + edges[:30]
+    got = [(r.node, r.component) for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()]
+    want = plain_components([e for e in edges if e[0] != e[1]])
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_near_duplicates_beyond_the_broadcast_bounds(spark, monkeypatch):
+    """Rows that come again and no table small enough for all tasks: the same classes."""
+    monkeypatch.setattr(staging, "SMALL_BYTES", -1)
+    docs = copies(3, 40)
+    got = near.near_duplicates(spark.createDataFrame(docs + docs, "doc_id long, text string").repartition(3), percent=85).collect()
+    want = brute(docs, 85)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted([(i, *v) for i, v in want.items()] * 2)
+
+
+def test_steps_shuffle_no_more_than_they_need(spark, monkeypatch):
+    """What has small tables to look up does so in the tasks; with many shuffle partitions, shuffles cost their number."""
+    shuffles = []
+
+    def counted(df, *name):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return staging.stage(df, *name)
+
+    monkeypatch.setattr(near, "stage", counted)
+    monkeypatch.setattr(components, "stage", counted)
+    docs = copies(4, 60)
+    counted(near.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=85))
+    assert sum(shuffles) <= 30
+    shuffles.clear()
+    counted(connected_components(spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")))
+    assert sum(shuffles) <= 3
